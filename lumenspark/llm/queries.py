@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, langid, quality, secrets, toxicity, warc
+from . import bpe, chat, decontaminate, jaccard, langid, near_dedup, quality, secrets, toxicity, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.link(read(spark, sf_dir, "embeddings"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -47,6 +51,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(toxicity.score_table(docs, model), 0.5)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(read(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_table(read(spark, sf_dir, "documents"))
 
@@ -59,7 +67,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_decontaminate, op3_warc_revisits, op4_bpe, op5_chat, op6_quality, op7_toxicity, op9_secrets, op10_langid)
+    found = (op1_near_dedup, op2_decontaminate, op3_warc_revisits, op4_bpe, op5_chat, op6_quality, op7_toxicity, op8_jaccard_join, op9_secrets, op10_langid)
     return {f.__name__: f for f in found}
 
 
