@@ -165,3 +165,16 @@ def score_table(df: DataFrame, model: Model, id_col="doc_id", text_col="text") -
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, text_col).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+
+
+def keep_ordinary(df: DataFrame, model: Model, threshold: float, text_col="text") -> DataFrame:
+    """The rows whose text scores below the threshold, with all columns; a null text is scored as empty."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = model.reader()
+        for batch in batches:
+            keep = [reader.score((t or "").encode().lower()) < threshold for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
