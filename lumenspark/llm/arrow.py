@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -71,3 +72,9 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+
+
+def release(df: DataFrame) -> None:
+    """Let Spark delete shuffle files of plans that are no longer referred to; it does so when the driver collects garbage."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()

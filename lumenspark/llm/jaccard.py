@@ -17,7 +17,9 @@ that differ by one token.
 expected, from the number of sets in the band and the tokens in the segment. In large bands, with
 more segments than needed, this comes to leaving out those with fewest tokens.
 
-*Verification.* Signatures are dealt to buckets as packed arrays. A signature's sets form pairs;
+*Verification.* Every set also has a histogram of its tokens over power-of-two hash groups; the sum
+of the smaller counts of two histograms bounds their intersection from above, so pairs below the
+threshold by that bound are dropped without reading the sets. Signatures are dealt to buckets as packed arrays. A signature's sets form pairs;
 where more than a few share one, only pairs with the smallest (the hub) are formed. All pairs are verified on the
 sets themselves. Where a hub's pair fails and both are still in different components, the failed
 set is compared with a second hub and then with every set of that hub in another component. So
@@ -39,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph, shingles
-from .arrow import durable, slices
+from .arrow import durable, release, slices
 
 #: Links need 100 * |A and B| >= PER_CENT * |A or B|. The band bounds below hold for 80.
 PER_CENT = 80
@@ -145,17 +147,47 @@ def signatures(u: np.ndarray, others: dict[int, int]) -> tuple[np.ndarray, np.nd
     return np.concatenate(sigs), np.concatenate(roles)
 
 
+def histogram(u: np.ndarray) -> bytes:
+    """Tokens per hash group; larger sets have more groups, which can be summed to fewer."""
+    bits = 6 if len(u) <= 1000 else 8 if len(u) <= 6000 else 11
+    return np.minimum(np.bincount((u >> _U(64 - bits)).astype(np.int64), minlength=1 << bits), 65535).astype(np.uint16).tobytes()
+
+
+def may_link(a: bytes, b: bytes, n: int, m: int) -> bool:
+    """False only if sets of n and m tokens with these histograms can't be similar."""
+    x, y = np.frombuffer(a, np.uint16).astype(np.int64), np.frombuffer(b, np.uint16).astype(np.int64)
+    if max(x.max(), y.max()) == 65535:
+        return True
+    k = min(len(x), len(y))
+    both = int(np.minimum(x.reshape(k, -1).sum(1), y.reshape(k, -1).sum(1)).sum())
+    return 100 * both >= PER_CENT * (n + m - both)
+
+
+def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs that their sets' histograms do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.column(5).to_pylist(), batch.column(6).to_pylist()
+            keep = [may_link(x, y, i, j) for x, y, i, j in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), n, m, strict=True)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:3], names=["a", "b", "hub"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda x: classes.select(F.col("class").alias(x), F.col("histogram").alias(f"h{x}"), F.col("n").alias(f"n{x}"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "hub", "ha", "hb", "na", "nb")
+    return joined.mapInArrow(run, "a binary, b binary, hub boolean")
+
+
 def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, class, band); class and band are null for the empty set."""
+    """(id, n_shingles, class, band, histogram); the last three are null for the empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in slices(batches):
-            found = [(len(u), shingles.digest(u) if len(u) else None, band_of(len(u)) if len(u) else None) for u in shingles.sets(s)]
-            n, c, b = map(list, zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays([s.ids, pa.array(n, pa.int64()), pa.array(c, pa.binary()), pa.array(b, pa.int32())], names=["id", "n_shingles", "class", "band"])
+            found = [(len(u), shingles.digest(u), band_of(len(u)), histogram(u)) if len(u) else (0, None, None, None) for u in shingles.sets(s)]
+            n, c, b, h = map(list, zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([s.ids, pa.array(n, pa.int64()), pa.array(c, pa.binary()), pa.array(b, pa.int32()), pa.array(h, pa.binary())], names=["id", "n_shingles", "class", "band", "histogram"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_shingles long, class binary, band int")
+    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_shingles long, class binary, band int, histogram binary")
 
 
 def _packed(docs: DataFrame, id_col: str, text_col: str, others: dict[int, int], bits: int) -> DataFrame:
@@ -287,7 +319,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """(id, n_shingles, component_id) of every row: the smallest id that links reach, itself included."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = durable(describe(docs, id_col, text_col))
-    classes = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("rep"), F.min("band").alias("band"), F.max("n_shingles").alias("n"))
+    classes = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("rep"), F.min("band").alias("band"), F.max("n_shingles").alias("n"), F.max("histogram").alias("histogram"))
     classes = durable(classes)
     stats = classes.groupBy("band").agg(F.count("*").alias("c"), F.sum("n").alias("n")).collect()  # one row per size band
     others = {r["band"]: r["c"] for r in stats}
@@ -295,10 +327,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     bits = min(16, max(6, int(np.ceil(np.log2(max(1, sum(r["n"] for r in stats) / 2_000_000))))))
     packed = _packed(docs, id_col, text_col, others, bits)
     pairs = packed.groupBy("bucket").applyInArrow(_bucket_pairs, "a binary, b binary, hub boolean")
-    pairs = durable(pairs.groupBy("a", "b").agg(F.max("hub").alias("hub")))
+    pairs = durable(_plausible(pairs.groupBy("a", "b").agg(F.max("hub").alias("hub")), classes))
+    del packed
+    release(docs)
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes, "class").select("rep")
     texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("_t")).join(nodes, "rep")
     sets = durable(_sets_of(texts).groupBy("class").agg(F.min_by("rep", "rep").alias("rep"), F.first("set").alias("set")))
+    release(docs)
     done = _verified(pairs, "class", sets, kind)
     parts = graph.components(done.where("linked"), "a", "b")
     hubs = done.where("hub").select("a", "b", "linked")
