@@ -163,18 +163,18 @@ def may_link(a: bytes, b: bytes, n: int, m: int) -> bool:
     return 100 * both >= PER_CENT * (n + m - both)
 
 
-def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs that their sets' histograms do not rule out."""
+def _plausible(pairs: DataFrame, classes: DataFrame, kind: str) -> DataFrame:
+    """The pairs, as representatives, that their sets' histograms do not rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, m = batch.column(5).to_pylist(), batch.column(6).to_pylist()
-            keep = [may_link(x, y, i, j) for x, y, i, j in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), n, m, strict=True)]
-            yield pa.RecordBatch.from_arrays(batch.columns[:3], names=["a", "b", "hub"]).filter(pa.array(keep, pa.bool_()))
+            x, y, n, m = (batch.column(i).to_pylist() for i in range(4, 8))
+            keep = [may_link(*v) for v in zip(x, y, n, m, strict=True)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "b", "hub", "k"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda x: classes.select(F.col("class").alias(x), F.col("histogram").alias(f"h{x}"), F.col("n").alias(f"n{x}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "hub", "ha", "hb", "na", "nb")
-    return joined.mapInArrow(run, "a binary, b binary, hub boolean")
+    side = lambda x: classes.select(F.col("class").alias(x), F.col("rep").alias(f"r{x}"), F.col("histogram").alias(f"h{x}"), F.col("n").alias(f"n{x}"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("ra", "rb", "hub", "k", "ha", "hb", "na", "nb")
+    return joined.mapInArrow(run, f"a {kind}, b {kind}, hub boolean, k long")
 
 
 def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -283,14 +283,13 @@ def _bucket_pairs(table: pa.Table) -> pa.Table:
 
 
 def _sets_of(rows: DataFrame) -> DataFrame:
-    """(class, rep, set) of rows (rep, text)."""
+    """(rep, set) of rows (rep, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in slices(batches):
-            found = [(shingles.digest(u), u.tobytes()) for u in shingles.sets(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.binary()), s.ids, pa.array([u for _, u in found], pa.binary())], names=["class", "rep", "set"])
+            yield pa.RecordBatch.from_arrays([s.ids, pa.array([u.tobytes() for u in shingles.sets(s)], pa.binary())], names=["rep", "set"])
 
-    return rows.mapInArrow(run, f"class binary, rep {rows.schema['rep'].dataType.simpleString()}, set binary")
+    return rows.mapInArrow(run, f"rep {rows.schema['rep'].dataType.simpleString()}, set binary")
 
 
 def similar(a: bytes, b: bytes) -> bool:
@@ -302,17 +301,38 @@ def similar(a: bytes, b: bytes) -> bool:
     return 100 * both >= PER_CENT * (len(x) + len(y) - both)
 
 
-def _verified(pairs: DataFrame, key: str, sets: DataFrame, kind: str) -> DataFrame:
-    """(a, b, hub, linked) as representatives, for pairs named by a column of sets."""
+def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose sets are similar."""
+    kind = sets.schema["rep"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = [similar(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column(3), batch.column(4), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(linked, pa.bool_())], names=["a", "b", "hub", "linked"])
+            linked = [similar(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
+
+    side = lambda x: sets.select(F.col("rep").alias(x), F.col("set").alias(f"s{x}"))
+    joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
+    out = durable(joined.mapInArrow(run, f"a {kind}, b {kind}"))
+    release(pairs)
+    return out
+
+
+def _merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links."""
+    return graph.components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(links.select("a", "b")), "a", "b")
 
-    side = lambda x: sets.select(F.col(key).alias(x), F.col("rep").alias(f"rep_{x}"), F.col("set").alias(f"set_{x}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("rep_a", "rep_b", "hub", "set_a", "set_b")
-    return durable(joined.mapInArrow(run, f"a {kind}, b {kind}, hub boolean, linked boolean"))
+
+def _possible(pairs: DataFrame, classes: DataFrame, kind: str) -> DataFrame:
+    """Pairs of representatives less those that their histograms rule out."""
+    named = classes.select(F.col("rep").alias("a"), F.col("class").alias("_a"))
+    other = classes.select(F.col("rep").alias("b"), F.col("class").alias("_b"))
+    keys = pairs.join(named, "a").join(other, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"), F.lit(False).alias("hub"), F.lit(1).cast("long").alias("k"))
+    return _plausible(keys, classes, kind)
+
+
+def _repeats(rows: DataFrame) -> bool:
+    """Whether any id has several rows."""
+    return not rows.groupBy("id").count().where("count > 1").isEmpty()
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -327,20 +347,33 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     bits = min(16, max(6, int(np.ceil(np.log2(max(1, sum(r["n"] for r in stats) / 2_000_000))))))
     packed = _packed(docs, id_col, text_col, others, bits)
     pairs = packed.groupBy("bucket").applyInArrow(_bucket_pairs, "a binary, b binary, hub boolean")
-    pairs = durable(_plausible(pairs.groupBy("a", "b").agg(F.max("hub").alias("hub")), classes))
+    pairs = pairs.groupBy("a", "b").agg(F.max("hub").alias("hub"), F.count("*").alias("k"))
+    pairs = durable(_plausible(pairs, classes, kind))
     del packed
     release(docs)
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes, "class").select("rep")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("_t")).join(nodes, "rep")
-    sets = durable(_sets_of(texts).groupBy("class").agg(F.min_by("rep", "rep").alias("rep"), F.first("set").alias("set")))
+    sets = durable(_sets_of(texts.groupBy("rep").agg(F.first("_t").alias("_t")) if _repeats(rows) else texts))
     release(docs)
-    done = _verified(pairs, "class", sets, kind)
-    parts = graph.components(done.where("linked"), "a", "b")
-    hubs = done.where("hub").select("a", "b", "linked")
+
+    def apart(df: DataFrame, parts: DataFrame) -> DataFrame:
+        """Those of the pairs whose ends are in different components."""
+        for x in ("a", "b"):
+            df = df.join(parts.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")), x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
+        return df
+
+    # first each set's likeliest partner: copies come together, and their other pairs need no look
+    first = pairs.groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a"))
+    links = _linked(first, sets)
+    parts = graph.components(links, "a", "b")
+    rest = apart(pairs.join(first, ["a", "b"], "left_anti").select("a", "b"), parts).where("ca <> cb")
+    more = _linked(rest, sets)
+    parts = _merged(parts, more)
+    ordered = lambda df, x, y: df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    tested = ordered(pairs, "a", "b")
     for step in ("second hub", "rest"):
-        named = lambda df, x: df.join(parts.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")), x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
-        spread = named(named(hubs, "a"), "b")
-        failed = durable(spread.where("NOT linked AND ca <> cb").select("a", "b", "cb"))
+        spread = durable(apart(pairs.where("hub").select("a", "b"), parts))
+        failed = spread.where("ca <> cb").select("a", "b", "cb")  # these were looked at, and are no links
         if failed.isEmpty():
             break
         if step == "second hub":
@@ -349,10 +382,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         else:
             all_ = spread.select("a", F.col("b").alias("y"), F.col("cb").alias("cy"))
             more = failed.join(all_, "a").where("b <> y AND cb <> cy").select(F.col("b").alias("x"), "y")
-        more = more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(False).alias("hub")).distinct()
-        more = _verified(more.join(done.select("a", "b"), ["a", "b"], "left_anti"), "rep", sets, kind)
-        done = done.unionAll(more)
-        parts = graph.components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more.where("linked").select("a", "b")), "a", "b")
+        more = ordered(more, "x", "y").distinct().join(tested, ["a", "b"], "left_anti")
+        more = _linked(_possible(more, classes, kind), sets)
+        parts = _merged(parts, more)
     named = classes.select("class", "rep").join(parts, F.col("rep") == F.col("node"), "left").select("class", F.coalesce("component", "rep").alias("component_id"))
     out = rows.join(named, "class", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
