@@ -18,12 +18,13 @@ expected, from the number of sets in the band and the tokens in the segment. In
 more segments than needed, this comes to leaving out those with fewest tokens.
 
 *Verification.* Every set also has a histogram of its tokens over power-of-two hash groups; the sum
-of the smaller counts of two histograms bounds their intersection from above, so pairs below the
-threshold by that bound are dropped without reading the sets. Signatures are dealt to buckets as packed arrays. A signature's sets form pairs;
-where more than a few share one, only pairs with the smallest (the hub) are formed. All pairs are verified on the
-sets themselves. Where a hub's pair fails and both are still in different components, the failed
-set is compared with a second hub and then with every set of that hub in another component. So
-no link that could join two components is left out, and no group emits all its pairs.
+of the smaller counts of two histograms bounds their intersection from above. Signatures are dealt
+to buckets as packed arrays. A signature's sets form pairs; where more than FEW share one, only
+pairs with the smallest (the hub) are formed. First each set is compared with its likeliest partner,
+which brings copies together. Then the pairs whose ends are still apart are compared, and among
+all sets of a hub those that are still apart and whose histograms allow a link. So no link that
+could join two components is left out, and no group of copies emits all its pairs. A hub with many
+sets is dealt to cells of chunk pairs.
 
 Edge cases: null, empty and blank texts have the empty set and link with nothing; repeated ids each
 give rows with the component of the class; a null id is never the smallest; an empty table gives an
@@ -47,6 +48,7 @@ from .arrow import durable, release, slices
 PER_CENT = 80
 SMALL = 32
 FEW = 5
+CHUNK = 1024
 INDEX, PROBE, DELETED = 1, 2, 4
 _U = np.uint64
 
@@ -149,32 +151,97 @@ def signatures(u: np.ndarray, others: dict[int, int]) -> tuple[np.ndarray, np.nd
 
 def histogram(u: np.ndarray) -> bytes:
     """Tokens per hash group; larger sets have more groups, which can be summed to fewer."""
-    bits = 6 if len(u) <= 1000 else 8 if len(u) <= 6000 else 11
-    return np.minimum(np.bincount((u >> _U(64 - bits)).astype(np.int64), minlength=1 << bits), 65535).astype(np.uint16).tobytes()
+    bits = 8 if len(u) <= 2000 else 10 if len(u) <= 10_000 else 12
+    return np.minimum(np.bincount((u >> _U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
-def may_link(a: bytes, b: bytes, n: int, m: int) -> bool:
-    """False only if sets of n and m tokens with these histograms can't be similar."""
-    x, y = np.frombuffer(a, np.uint16).astype(np.int64), np.frombuffer(b, np.uint16).astype(np.int64)
-    if max(x.max(), y.max()) == 65535:
-        return True
-    k = min(len(x), len(y))
-    both = int(np.minimum(x.reshape(k, -1).sum(1), y.reshape(k, -1).sum(1)).sum())
-    return 100 * both >= PER_CENT * (n + m - both)
+def may_link(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Where sets of n and m tokens with histograms x and y (rows; numbers of groups may differ) can be similar."""
+    k = min(x.shape[-1], y.shape[-1])
+    fold = lambda h: h if h.shape[-1] == k else h.astype(np.int16).reshape(*h.shape[:-1], k, -1).sum(-1)
+    both = np.minimum(fold(x), fold(y)).sum(-1, dtype=np.int64)
+    full = (x.max(-1) == 255) | (y.max(-1) == 255)  # such counts may be larger
+    return full | (100 * both >= PER_CENT * (n + m - both))
+
+
+def _arrays(column: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(h, np.uint8) for h in column]
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame, kind: str) -> DataFrame:
-    """The pairs, as representatives, that their sets' histograms do not rule out."""
+    """The pairs (a, b) of representatives that their sets' histograms do not rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y, n, m = (batch.column(i).to_pylist() for i in range(4, 8))
-            keep = [may_link(*v) for v in zip(x, y, n, m, strict=True)]
-            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "b", "hub", "k"]).filter(pa.array(keep, pa.bool_()))
+            x, y, n, m = (batch.column(i).to_pylist() for i in range(2, 6))
+            keep = [bool(may_link(*v)) for v in zip(_arrays(x), _arrays(y), n, m, strict=True)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda x: classes.select(F.col("rep").alias(x), F.col("histogram").alias(f"h{x}"), F.col("n").alias(f"n{x}"))
+    joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "ha", "hb", "na", "nb")
+    return joined.mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def _within_hubs(members: DataFrame, classes: DataFrame, kind: str) -> DataFrame:
+    """Pairs of a hub's members(hub, x, part) that are in different parts and that histograms allow."""
+    names = ("hub", "ci", "cj", "chunk", "x", "part", "n", "histogram")
+
+    def judge(rows: dict) -> Iterator[tuple]:
+        ci, cj = rows["ci"][0], rows["cj"][0]
+        size = np.array([len(h) for h in rows["histogram"]])
+        groups = [(g, np.flatnonzero(size == g)) for g in np.unique(size)]
+        held = {g: np.frombuffer(b"".join([rows["histogram"][i] for i in at]), np.uint8).reshape(len(at), g) for g, at in groups}
+        for g, at in groups:
+            for h, to in groups:
+                right = to[rows["chunk"][to] == cj]
+                hy = held[h][rows["chunk"][to] == cj]
+                for i in at[rows["chunk"][at] == ci]:
+                    j = (rows["x"][right] > rows["x"][i] if ci == cj else np.ones(len(right), bool)) & (rows["part"][right] != rows["part"][i])
+                    if not j.any():
+                        continue
+                    own = np.frombuffer(rows["histogram"][i], np.uint8)
+                    ok = may_link(own[None, :], hy[j], rows["n"][i], rows["n"][right[j]])
+                    for y in rows["x"][right[j][ok]]:
+                        yield min(rows["x"][i], y), max(rows["x"][i], y)
 
-    side = lambda x: classes.select(F.col("class").alias(x), F.col("rep").alias(f"r{x}"), F.col("histogram").alias(f"h{x}"), F.col("n").alias(f"n{x}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("ra", "rb", "hub", "k", "ha", "hb", "na", "nb")
-    return joined.mapInArrow(run, f"a {kind}, b {kind}, hub boolean, k long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last, found = None, set()
+
+        def close() -> pa.RecordBatch | None:
+            if sum(h.num_rows for h in held) > 1:
+                t = pa.Table.from_batches(held)
+                found.update(judge({c: t.column(c).to_pylist() if c == "histogram" else t.column(c).to_numpy() for c in names}))
+            if len(found) > 20_000 or (last is None and found):
+                out = pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+                found.clear()
+                return out
+            return None
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(k).to_numpy() for k in range(3)]
+            edges = graph.group_bounds(*keys)
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                key = tuple(int(k[a]) for k in keys)
+                if key != last:
+                    if last is not None and (made := close()) is not None:
+                        yield made
+                    held, last = [], key
+                held.append(batch.slice(a, b - a))
+        last = None
+        if (made := close()) is not None:
+            yield made
+
+    mixed = members.groupBy("hub").agg(F.count("*").alias("size"), F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q")
+    rows = members.join(mixed.select("hub", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks")), "hub")
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("x"), F.col("chunks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.join(classes.select(F.col("rep").alias("x"), "n", "histogram"), "x")
+    rows = rows.select("hub", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"), "chunk", "x", "part", "n", "histogram")
+    rows = rows.repartition("hub", "ci", "cj").sortWithinPartitions("hub", "ci", "cj")
+    return rows.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
 def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -322,14 +389,6 @@ def _merged(parts: DataFrame, links: DataFrame) -> DataFrame:
     return graph.components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(links.select("a", "b")), "a", "b")
 
 
-def _possible(pairs: DataFrame, classes: DataFrame, kind: str) -> DataFrame:
-    """Pairs of representatives less those that their histograms rule out."""
-    named = classes.select(F.col("rep").alias("a"), F.col("class").alias("_a"))
-    other = classes.select(F.col("rep").alias("b"), F.col("class").alias("_b"))
-    keys = pairs.join(named, "a").join(other, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"), F.lit(False).alias("hub"), F.lit(1).cast("long").alias("k"))
-    return _plausible(keys, classes, kind)
-
-
 def _repeats(rows: DataFrame) -> bool:
     """Whether any id has several rows."""
     return not rows.groupBy("id").count().where("count > 1").isEmpty()
@@ -348,13 +407,21 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     packed = _packed(docs, id_col, text_col, others, bits)
     pairs = packed.groupBy("bucket").applyInArrow(_bucket_pairs, "a binary, b binary, hub boolean")
     pairs = pairs.groupBy("a", "b").agg(F.max("hub").alias("hub"), F.count("*").alias("k"))
-    pairs = durable(_plausible(pairs, classes, kind))
+    for x in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("class").alias(x), F.col("rep").alias(f"r{x}")), x)
+    pairs = durable(pairs.select(F.col("ra").alias("a"), F.col("rb").alias("b"), "hub", "k"))
     del packed
     release(docs)
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("_t")).join(nodes, "rep")
-    sets = durable(_sets_of(texts.groupBy("rep").agg(F.first("_t").alias("_t")) if _repeats(rows) else texts))
-    release(docs)
+    unique = not _repeats(rows)
+
+    def linked(some: DataFrame) -> DataFrame:
+        """Those of some pairs that link, from the sets of the texts that they name."""
+        some = durable(some)
+        nodes = some.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("_t")).join(nodes, "rep")
+        sets = durable(_sets_of(texts if unique else texts.groupBy("rep").agg(F.first("_t").alias("_t"))))
+        release(docs)
+        return _linked(some, sets)
 
     def apart(df: DataFrame, parts: DataFrame) -> DataFrame:
         """Those of the pairs whose ends are in different components."""
@@ -364,27 +431,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     # first each set's likeliest partner: copies come together, and their other pairs need no look
     first = pairs.groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a"))
-    links = _linked(first, sets)
-    parts = graph.components(links, "a", "b")
-    rest = apart(pairs.join(first, ["a", "b"], "left_anti").select("a", "b"), parts).where("ca <> cb")
-    more = _linked(rest, sets)
-    parts = _merged(parts, more)
-    ordered = lambda df, x, y: df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    tested = ordered(pairs, "a", "b")
-    for step in ("second hub", "rest"):
-        spread = durable(apart(pairs.where("hub").select("a", "b"), parts))
-        failed = spread.where("ca <> cb").select("a", "b", "cb")  # these were looked at, and are no links
-        if failed.isEmpty():
-            break
-        if step == "second hub":
-            second = failed.groupBy("a").agg(F.min(F.struct("b", "cb")).alias("h"))
-            more = failed.join(second, "a").where("h.b <> b AND h.cb <> cb").select(F.col("h.b").alias("x"), F.col("b").alias("y"))
-        else:
-            all_ = spread.select("a", F.col("b").alias("y"), F.col("cb").alias("cy"))
-            more = failed.join(all_, "a").where("b <> y AND cb <> cy").select(F.col("b").alias("x"), "y")
-        more = ordered(more, "x", "y").distinct().join(tested, ["a", "b"], "left_anti")
-        more = _linked(_possible(more, classes, kind), sets)
-        parts = _merged(parts, more)
+    parts = graph.components(linked(_plausible(first, classes, kind)), "a", "b")
+    rest = apart(pairs.join(first, ["a", "b"], "left_anti").select("a", "b"), parts).where("ca <> cb").select("a", "b")
+    hubs = pairs.where("hub")
+    members = hubs.select(F.col("a").alias("hub"), F.col("b").alias("x")).unionAll(hubs.select(F.col("a").alias("hub"), F.col("a").alias("x")).distinct())
+    members = members.join(parts.select(F.col("node").alias("x"), F.col("component").alias("part")), "x", "left").withColumn("part", F.coalesce("part", "x"))
+    tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = _within_hubs(members.select("hub", "x", "part"), classes, kind).join(tested, ["a", "b"], "left_anti")
+    parts = _merged(parts, linked(_plausible(rest, classes, kind).unionAll(more)))
     named = classes.select("class", "rep").join(parts, F.col("rep") == F.col("node"), "left").select("class", F.coalesce("component", "rep").alias("component_id"))
     out = rows.join(named, "class", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
