@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from .arrow import slices
 
 #: Distinct pre-tokens that a worker remembers before it starts afresh; a memory bound, results do not depend on it.
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 _MASK = (1 << 64) - 1
 
 
