@@ -39,6 +39,11 @@ def test_components(spark):
             if a in want and b in want and a != b:
                 want[a] = want[b] = min(want[a], want[b])
     assert got == want
+    limit, graph.ONE_TASK = graph.ONE_TASK, 0
+    try:
+        assert {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(pairs, "a long, b long"), "a", "b").collect()} == want
+    finally:
+        graph.ONE_TASK = limit
     assert graph.components(nothing(spark.createDataFrame(pairs, "a long, b long")), "a", "b").count() == 0
 
 
