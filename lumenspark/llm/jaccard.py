@@ -14,17 +14,19 @@ sets, so are the segments less each one token (one-deletion neighbourhoods), whi
 that differ by one token.
 
 *Allocation.* The v_i that cost least are taken. The cost is the number of signatures plus the hits
-expected, from the number of sets in the band and the tokens in the segment. In large bands, with
-more segments than needed, this comes to leaving out those with fewest tokens.
+expected, from the number of sets in the band and the tokens in the segment. Large bands have more
+segments than needed; there all are looked up, and once it is known which signatures many sets share,
+a set leaves those out, as they cost most, where H + 1 others remain. Such a set is *free* in that
+band: all its partners there share one of the rarer signatures.
 
 *Verification.* Every set also has a histogram of its tokens over power-of-two hash groups; the sum
 of the smaller counts of two histograms bounds their intersection from above. Signatures are dealt
 to buckets as packed arrays. A signature's sets form pairs; where more than FEW share one, only
 pairs with the smallest (the hub) are formed. First each set is compared with its likeliest partner,
-which brings copies together. Then the pairs whose ends are still apart are compared, and among
-all sets of a hub those that are still apart and whose histograms allow a link. So no link that
-could join two components is left out, and no group of copies emits all its pairs. A hub with many
-sets is dealt to cells of chunk pairs.
+which brings copies together. Then the pairs whose ends are still apart are compared, and each set
+that is not free with those sets of its hubs that are no larger, still apart and allowed by their
+histograms. So no link that could join two components is left out, and no group of copies emits all
+its pairs. A hub with many sets is dealt to cells of chunk pairs.
 
 Edge cases: null, empty and blank texts have the empty set and link with nothing; repeated ids each
 give rows with the component of the class; a null id is never the smallest; an empty table gives an
@@ -50,6 +52,10 @@ SMALL = 32
 FEW = 5
 CHUNK = 1024
 INDEX, PROBE, DELETED = 1, 2, 4
+#: Roles also hold how many bands below its own a set looks, from this bit on.
+BELOW = 3
+#: Bits of `bound`: for 0 to 2 bands below its own, whether a set is not free there.
+REACH = 3
 _U = np.uint64
 
 
@@ -81,7 +87,7 @@ def segments(band: int) -> int:
     most = budget(high * 5 // 4, high)
     if not most:
         return 0
-    return (most + 1) // 2 + 1 if high <= SMALL else (most + 1) * 9 // 8 + 2
+    return (most + 1) // 2 + 1 if high <= SMALL else (most + 1) * 5 // 4 + 2
 
 
 def _cost(k: int, v: int, others: float) -> float:
@@ -122,17 +128,12 @@ def signatures(u: np.ndarray, others: dict[int, int]) -> tuple[np.ndarray, np.nd
             continue
         low, high = BANDS[band]
         seg = (((u >> _U(32)) * _U(m)) >> _U(32)).astype(np.int64)
-        count = np.bincount(seg, minlength=m)
         total = np.bincount(seg, token, m)
-        need = budget(n, high) + 1
         if high > SMALL:
-            chosen = np.argsort(-count, kind="stable")[:need]
-            role = np.full(m, INDEX if band == own else 0, np.uint8)
-            role[chosen] |= PROBE
-            at = np.flatnonzero(role)
-            sums, segs, role = total[at], at, role[at]
+            sums, segs, role = total, np.arange(m), np.full(m, INDEX | PROBE if band == own else PROBE, np.uint8)
         else:
-            v = np.array(allocate(count.tolist(), need, others.get(band, 0)))
+            need = budget(n, high) + 1
+            v = np.array(allocate(np.bincount(seg, minlength=m).tolist(), need, others.get(band, 0)))
             base = INDEX if band == own else 0
             role = np.where(v >= 0, base | PROBE, base)
             gone = np.where(v[seg] > 0, base | PROBE, base) | DELETED
@@ -143,12 +144,22 @@ def signatures(u: np.ndarray, others: dict[int, int]) -> tuple[np.ndarray, np.nd
             sums, segs, role = sums[keep], segs[keep], role[keep]
         salt = (segs + 1).astype(_U) * _U(0x9FB21C651E98DF25) + _U(band + 1) * _U(0xC13FA9A902A6328F & 0xFFFFFFFFFFFF)
         sigs.append(shingles.mix(sums.astype(_U) ^ salt))
-        roles.append(role)
+        roles.append(role | np.uint8((own - band) << BELOW))
     if not sigs:
         return np.zeros(0, _U), np.zeros(0, np.uint8)
     return np.concatenate(sigs), np.concatenate(roles)
 
 
+def bound(n: int, frequent: list[int]) -> int:
+    """Bits of the bands (own, one and two below) where a set of n tokens is not free, from its numbers of frequent signatures."""
+    own, bits = band_of(n), 0
+    for o, f in enumerate(frequent[: own + 1]):
+        high = BANDS[own - o][1]
+        if f and (high <= SMALL or segments(own - o) - f - 1 <= budget(n, high)):  # one less, if two fall together
+            bits |= 1 << o
+    return bits
+
+
 def histogram(u: np.ndarray) -> bytes:
     """Tokens per hash group; larger sets have more groups, which can be summed to fewer."""
     bits = 8 if len(u) <= 2000 else 10 if len(u) <= 10_000 else 12
@@ -182,27 +193,77 @@ def _plausible(pairs: DataFrame, classes: DataFrame, kind: str) -> DataFrame:
     return joined.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def least_sums(own: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Sums of the smaller counts of one histogram and each of others (rows)."""
+    pairs = np.minimum(others, own).view(_U)
+    lanes = (pairs & _U(0x00FF00FF00FF00FF)) + ((pairs >> _U(8)) & _U(0x00FF00FF00FF00FF))  # up to 510 in 16 bits
+    out = np.zeros(len(others), np.int64)
+    for i in range(0, lanes.shape[1], 128):
+        four = lanes[:, i : i + 128].sum(1)
+        out += sum(((four >> _U(k)) & _U(0xFFFF)).astype(np.int64) for k in (0, 16, 32, 48))
+    return out
+
+
+def _folded(h: np.ndarray, groups: int) -> np.ndarray:
+    """Histograms with fewer groups; counts stop at 255."""
+    return h if h.shape[-1] == groups else np.minimum(h.reshape(*h.shape[:-1], groups, -1).sum(-1, dtype=np.int64), 255).astype(np.uint8)
+
+
+def _cell(one: np.ndarray, two: np.ndarray, x: np.ndarray, part: np.ndarray, n: np.ndarray, bits: np.ndarray, hist: list) -> Iterator[tuple]:
+    """Pairs of a set in `one` that is not free and a smaller set in `two` whose histograms allow a link."""
+    two = two[np.argsort(n[two], kind="stable")]
+    sizes, parts, ids = n[two], part[two], x[two]
+    held: dict[tuple[int, int], list] = {}  # rows of `two` with so many groups, folded to so many
+
+    def folded(size: int, groups: int) -> tuple:
+        if (size, groups) not in held:
+            at = np.flatnonzero([len(hist[i]) == size for i in two])
+            h = np.frombuffer(b"".join(hist[two[i]] for i in at), np.uint8).reshape(len(at), size)
+            h = _folded(h, groups)
+            held[size, groups] = (int(at[0]) if len(at) else 0, h, h.max(1, initial=0) == 255)
+        return held[size, groups]
+
+    kinds = sorted({len(hist[i]) for i in two})
+    for i in one[bits[one] > 0]:
+        size, own = int(n[i]), band_of(int(n[i]))
+        for o in range(min(REACH, own + 1)):
+            if not bits[i] >> o & 1:
+                continue
+            low, high = BANDS[own - o]
+            a, b = np.searchsorted(sizes, max(low, -(-size * PER_CENT // 100))), np.searchsorted(sizes, min(high, size), "right")
+            if a >= b or not (parts[a:b] != part[i]).any():
+                continue
+            for kind in kinds:  # sets with as many groups are next to each other, as they are in order of size
+                groups = min(kind, len(hist[i]))
+                start, h, full = folded(kind, groups)
+                c, d = max(a - start, 0), min(b - start, len(h))
+                if c >= d:
+                    continue
+                mine = _folded(np.frombuffer(hist[i], np.uint8), groups)
+                apart = np.flatnonzero(parts[start + c : start + d] != part[i])
+                if not len(apart):
+                    continue
+                rows = h[c:d] if 2 * len(apart) > d - c else h[c:d][apart]
+                both = least_sums(mine, rows)
+                both = both[apart] if len(rows) > len(apart) else both
+                at = start + c + apart
+                ok = full[c:d][apart] | (mine.max() == 255) | (100 * both >= PER_CENT * (size + sizes[at] - both))
+                for y in ids[at[ok]]:
+                    if y != x[i]:
+                        yield min(x[i], y), max(x[i], y)
+
+
 def _within_hubs(members: DataFrame, classes: DataFrame, kind: str) -> DataFrame:
-    """Pairs of a hub's members(hub, x, part) that are in different parts and that histograms allow."""
-    names = ("hub", "ci", "cj", "chunk", "x", "part", "n", "histogram")
+    """Pairs of a hub's members(hub, x, part, bits) that are in different parts and that histograms allow; one is not free."""
+    names = ("hub", "ci", "cj", "chunk", "x", "part", "bits", "n", "histogram")
 
     def judge(rows: dict) -> Iterator[tuple]:
         ci, cj = rows["ci"][0], rows["cj"][0]
-        size = np.array([len(h) for h in rows["histogram"]])
-        groups = [(g, np.flatnonzero(size == g)) for g in np.unique(size)]
-        held = {g: np.frombuffer(b"".join([rows["histogram"][i] for i in at]), np.uint8).reshape(len(at), g) for g, at in groups}
-        for g, at in groups:
-            for h, to in groups:
-                right = to[rows["chunk"][to] == cj]
-                hy = held[h][rows["chunk"][to] == cj]
-                for i in at[rows["chunk"][at] == ci]:
-                    j = (rows["x"][right] > rows["x"][i] if ci == cj else np.ones(len(right), bool)) & (rows["part"][right] != rows["part"][i])
-                    if not j.any():
-                        continue
-                    own = np.frombuffer(rows["histogram"][i], np.uint8)
-                    ok = may_link(own[None, :], hy[j], rows["n"][i], rows["n"][right[j]])
-                    for y in rows["x"][right[j][ok]]:
-                        yield min(rows["x"][i], y), max(rows["x"][i], y)
+        rest = [rows[c] for c in ("x", "part", "n", "bits", "histogram")]
+        one, two = np.flatnonzero(rows["chunk"] == ci), np.flatnonzero(rows["chunk"] == cj)
+        yield from _cell(one, two, *rest)
+        if ci != cj:
+            yield from _cell(two, one, *rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -234,12 +295,12 @@ def _within_hubs(members: DataFrame, classes: DataFrame, kind: str) -> DataFrame
         if (made := close()) is not None:
             yield made
 
-    mixed = members.groupBy("hub").agg(F.count("*").alias("size"), F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q")
+    mixed = members.groupBy("hub").agg(F.count("*").alias("size"), F.min("part").alias("p"), F.max("part").alias("q"), F.max("bits").alias("bits")).where("p <> q AND bits > 0")
     rows = members.join(mixed.select("hub", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks")), "hub")
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("x"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     rows = rows.join(classes.select(F.col("rep").alias("x"), "n", "histogram"), "x")
-    rows = rows.select("hub", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"), "chunk", "x", "part", "n", "histogram")
+    rows = rows.select("hub", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"), "chunk", "x", "part", "bits", "n", "histogram")
     rows = rows.repartition("hub", "ci", "cj").sortWithinPartitions("hub", "ci", "cj")
     return rows.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
@@ -300,7 +361,10 @@ def _packed(docs: DataFrame, id_col: str, text_col: str, others: dict[int, int],
 
 
 def _bucket_pairs(table: pa.Table) -> pa.Table:
-    """Candidate pairs of one bucket; hub pairs where more than FEW sets share a signature."""
+    """Candidate pairs of one bucket; hub pairs where more than FEW sets share a signature, the hub with itself too.
+
+    f0, f1, f2: how many such signatures b has with that hub in its own band, one and two below.
+    """
     classes, sigs, refs, roles, base = [], [], [], [], 0
     for c, r, s, o in zip(*(table.column(x).to_pylist() for x in ("classes", "refs", "sigs", "roles")), strict=True):
         own, sig = np.frombuffer(c, "V16"), np.frombuffer(s, np.uint32)
@@ -331,22 +395,23 @@ def _bucket_pairs(table: pa.Table) -> pa.Table:
     plain = [a[good] * count + b[good]]
     hubs = []
     for i in np.flatnonzero(lengths > 2):
-        own = np.unique(ref[edges[i] : edges[i + 1]])
+        here = np.unique(ref[edges[i] : edges[i + 1]] * REACH + (role[edges[i] : edges[i + 1]] >> BELOW))  # tasks may have the same set
+        own = np.unique(here // REACH)
         if len(own) > FEW:
-            hubs.append(own[0] * count + own[1:])
+            hubs.append(own[0] * count * REACH + here)
         elif len(own) > 1:
             j, k = np.triu_indices(len(own), 1)
             plain.append(own[j] * count + own[k])
-        if len(hubs) > 5000:
-            hubs = [np.unique(np.concatenate(hubs))]
         if len(plain) > 20000:
             plain = [np.unique(np.concatenate(plain))]
     plain = np.unique(np.concatenate(plain))
-    hub = np.unique(np.concatenate(hubs)) if hubs else np.zeros(0, np.int64)
+    hub, at = np.unique(np.concatenate(hubs) // REACH if hubs else np.zeros(0, np.int64), return_inverse=True)
+    often = np.bincount(at * REACH + np.concatenate(hubs) % REACH, minlength=REACH * len(hub)) if hubs else np.zeros(0, np.int64)
     plain = plain[~np.isin(plain, hub)]
     both = np.concatenate([hub, plain])
     left, right = (pa.array([x.tobytes() for x in names[i]], pa.binary()) for i in (both // max(1, count), both % max(1, count)))
-    return pa.table({"a": left, "b": right, "hub": pa.array(np.arange(len(both)) < len(hub))})
+    often = np.concatenate([often.reshape(-1, REACH), np.zeros((len(plain), REACH), np.int64)]).astype(np.int32)
+    return pa.table({"a": left, "b": right, "hub": pa.array(np.arange(len(both)) < len(hub)), **{f"f{o}": pa.array(often[:, o]) for o in range(REACH)}})
 
 
 def _sets_of(rows: DataFrame) -> DataFrame:
@@ -389,6 +454,18 @@ def _merged(parts: DataFrame, links: DataFrame) -> DataFrame:
     return graph.components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(links.select("a", "b")), "a", "b")
 
 
+def _bounds(often: DataFrame, kind: str) -> DataFrame:
+    """(rep, bits) of rows (rep, f0, f1, f2, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f0, f1, f2, n = (batch.column(i).to_pylist() for i in range(1, 5))
+            bits = [bound(m, f) for m, *f in zip(n, f0, f1, f2, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.int32())], names=["rep", "bits"])
+
+    return often.select("rep", "f0", "f1", "f2", "n").mapInArrow(run, f"rep {kind}, bits int")
+
+
 def _repeats(rows: DataFrame) -> bool:
     """Whether any id has several rows."""
     return not rows.groupBy("id").count().where("count > 1").isEmpty()
@@ -405,11 +482,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     # signatures are about half as many as tokens; a bucket holds about a million
     bits = min(16, max(6, int(np.ceil(np.log2(max(1, sum(r["n"] for r in stats) / 2_000_000))))))
     packed = _packed(docs, id_col, text_col, others, bits)
-    pairs = packed.groupBy("bucket").applyInArrow(_bucket_pairs, "a binary, b binary, hub boolean")
-    pairs = pairs.groupBy("a", "b").agg(F.max("hub").alias("hub"), F.count("*").alias("k"))
+    pairs = packed.groupBy("bucket").applyInArrow(_bucket_pairs, "a binary, b binary, hub boolean, f0 int, f1 int, f2 int")
+    pairs = pairs.groupBy("a", "b").agg(F.max("hub").alias("hub"), F.count("*").alias("k"), *(F.sum(f).alias(f) for f in ("f0", "f1", "f2")))
     for x in ("a", "b"):
         pairs = pairs.join(classes.select(F.col("class").alias(x), F.col("rep").alias(f"r{x}")), x)
-    pairs = durable(pairs.select(F.col("ra").alias("a"), F.col("rb").alias("b"), "hub", "k"))
+    pairs = durable(pairs.select(F.col("ra").alias("a"), F.col("rb").alias("b"), "hub", "k", "f0", "f1", "f2"))
+    hubs, pairs = pairs.where("hub"), pairs.where("a <> b").select("a", "b", "k")
     del packed
     release(docs)
     unique = not _repeats(rows)
@@ -433,11 +511,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     first = pairs.groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a"))
     parts = graph.components(linked(_plausible(first, classes, kind)), "a", "b")
     rest = apart(pairs.join(first, ["a", "b"], "left_anti").select("a", "b"), parts).where("ca <> cb").select("a", "b")
-    hubs = pairs.where("hub")
-    members = hubs.select(F.col("a").alias("hub"), F.col("b").alias("x")).unionAll(hubs.select(F.col("a").alias("hub"), F.col("a").alias("x")).distinct())
+    often = hubs.groupBy(F.col("b").alias("rep")).agg(*(F.sum(f).alias(f) for f in ("f0", "f1", "f2")))
+    often = often.join(classes.select("rep", "n"), "rep")
+    members = hubs.select(F.col("a").alias("hub"), F.col("b").alias("x")).join(_bounds(often, kind).withColumnRenamed("rep", "x"), "x")
     members = members.join(parts.select(F.col("node").alias("x"), F.col("component").alias("part")), "x", "left").withColumn("part", F.coalesce("part", "x"))
     tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _within_hubs(members.select("hub", "x", "part"), classes, kind).join(tested, ["a", "b"], "left_anti")
+    more = _within_hubs(members.select("hub", "x", "part", "bits"), classes, kind).join(tested, ["a", "b"], "left_anti")
     parts = _merged(parts, linked(_plausible(rest, classes, kind).unionAll(more)))
     named = classes.select("class", "rep").join(parts, F.col("rep") == F.col("node"), "left").select("class", F.coalesce("component", "rep").alias("component_id"))
     out = rows.join(named, "class", "left")
