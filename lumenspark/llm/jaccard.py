@@ -254,16 +254,14 @@ def _cell(one: np.ndarray, two: np.ndarray, x: np.ndarray, part: np.ndarray, n:
 
 
 def _within_hubs(members: DataFrame, classes: DataFrame, kind: str) -> DataFrame:
-    """Pairs of a hub's members(hub, x, part, bits) that are in different parts and that histograms allow; one is not free."""
-    names = ("hub", "ci", "cj", "chunk", "x", "part", "bits", "n", "histogram")
+    """Pairs of a hub's members(hub, x, part, bits, n) that are in different parts and that histograms allow; one is not free.
+
+    A cell has a chunk of those that are not free (looks) and a chunk of those whose sizes come into question for some.
+    """
+    names = ("hub", "ci", "cj", "looks", "x", "part", "bits", "n", "histogram")
 
     def judge(rows: dict) -> Iterator[tuple]:
-        ci, cj = rows["ci"][0], rows["cj"][0]
-        rest = [rows[c] for c in ("x", "part", "n", "bits", "histogram")]
-        one, two = np.flatnonzero(rows["chunk"] == ci), np.flatnonzero(rows["chunk"] == cj)
-        yield from _cell(one, two, *rest)
-        if ci != cj:
-            yield from _cell(two, one, *rest)
+        yield from _cell(np.flatnonzero(rows["looks"]), np.flatnonzero(~rows["looks"]), *(rows[c] for c in ("x", "part", "n", "bits", "histogram")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -272,7 +270,7 @@ def _within_hubs(members: DataFrame, classes: DataFrame, kind: str) -> DataFrame
         def close() -> pa.RecordBatch | None:
             if sum(h.num_rows for h in held) > 1:
                 t = pa.Table.from_batches(held)
-                found.update(judge({c: t.column(c).to_pylist() if c == "histogram" else t.column(c).to_numpy() for c in names}))
+                found.update(judge({c: t.column(c).to_pylist() if c == "histogram" else np.array(t.column(c).to_numpy()) for c in names}))
             if len(found) > 20_000 or (last is None and found):
                 out = pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
                 found.clear()
@@ -295,12 +293,20 @@ def _within_hubs(members: DataFrame, classes: DataFrame, kind: str) -> DataFrame
         if (made := close()) is not None:
             yield made
 
-    mixed = members.groupBy("hub").agg(F.count("*").alias("size"), F.min("part").alias("p"), F.max("part").alias("q"), F.max("bits").alias("bits")).where("p <> q AND bits > 0")
-    rows = members.join(mixed.select("hub", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks")), "hub")
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("x"), F.col("chunks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.join(classes.select(F.col("rep").alias("x"), "n", "histogram"), "x")
-    rows = rows.select("hub", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"), "chunk", "x", "part", "bits", "n", "histogram")
+    looks, low = F.col("bits") > 0, F.ceil(F.col("n") * PER_CENT / 100)
+    mixed = members.groupBy("hub").agg(
+        F.min("part").alias("p"), F.max("part").alias("q"), F.ceil(F.count("*") / CHUNK).cast("int").alias("kj"), F.ceil(F.count_if(looks) / CHUNK).cast("int").alias("ki"),
+        F.min(F.when(looks, low)).alias("low"), F.max(F.when(looks, F.col("n"))).alias("high"),
+    )
+    rows = members.join(mixed.where("p <> q AND ki > 0"), "hub")
+    cell = lambda looks, i, j: F.struct(F.lit(looks).alias("looks"), i.alias("ci"), j.alias("cj"))
+    chunk = lambda k: F.pmod(F.xxhash64("x"), F.col(k)).cast("int")
+    near = F.col("n").between(F.col("low"), F.col("high"))
+    one = F.filter(F.transform(F.sequence(F.lit(0), F.col("kj") - 1), lambda j: cell(True, chunk("ki"), j)), lambda _: looks)
+    two = F.filter(F.transform(F.sequence(F.lit(0), F.col("ki") - 1), lambda i: cell(False, i, chunk("kj"))), lambda _: near)
+    rows = rows.select("hub", "x", "part", "bits", "n", F.explode(F.concat(one, two)).alias("cell"))
+    rows = rows.join(classes.select(F.col("rep").alias("x"), "histogram"), "x")
+    rows = rows.select("hub", "cell.ci", "cell.cj", "cell.looks", "x", "part", "bits", "n", "histogram")
     rows = rows.repartition("hub", "ci", "cj").sortWithinPartitions("hub", "ci", "cj")
     return rows.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
@@ -455,15 +461,15 @@ def _merged(parts: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _bounds(often: DataFrame, kind: str) -> DataFrame:
-    """(rep, bits) of rows (rep, f0, f1, f2, n)."""
+    """(rep, bits, n) of rows (rep, f0, f1, f2, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             f0, f1, f2, n = (batch.column(i).to_pylist() for i in range(1, 5))
             bits = [bound(m, f) for m, *f in zip(n, f0, f1, f2, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.int32())], names=["rep", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.int32()), batch.column(4)], names=["rep", "bits", "n"])
 
-    return often.select("rep", "f0", "f1", "f2", "n").mapInArrow(run, f"rep {kind}, bits int")
+    return often.select("rep", "f0", "f1", "f2", "n").mapInArrow(run, f"rep {kind}, bits int, n long")
 
 
 def _repeats(rows: DataFrame) -> bool:
@@ -516,7 +522,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     members = hubs.select(F.col("a").alias("hub"), F.col("b").alias("x")).join(_bounds(often, kind).withColumnRenamed("rep", "x"), "x")
     members = members.join(parts.select(F.col("node").alias("x"), F.col("component").alias("part")), "x", "left").withColumn("part", F.coalesce("part", "x"))
     tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _within_hubs(members.select("hub", "x", "part", "bits"), classes, kind).join(tested, ["a", "b"], "left_anti")
+    more = _within_hubs(members.select("hub", "x", "part", "bits", "n"), classes, kind).join(tested, ["a", "b"], "left_anti")
     parts = _merged(parts, linked(_plausible(rest, classes, kind).unionAll(more)))
     named = classes.select("class", "rep").join(parts, F.col("rep") == F.col("node"), "left").select("class", F.coalesce("component", "rep").alias("component_id"))
     out = rows.join(named, "class", "left")
