@@ -166,26 +166,45 @@ def histogram(u: np.ndarray) -> bytes:
     return np.minimum(np.bincount((u >> _U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
+def least_sums(own: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Sums of the smaller counts of one histogram, or a row for each, and each of others (rows)."""
+    pairs = np.minimum(others, own).view(_U)
+    lanes = (pairs & _U(0x00FF00FF00FF00FF)) + ((pairs >> _U(8)) & _U(0x00FF00FF00FF00FF))  # up to 510 in 16 bits
+    out = np.zeros(len(others), np.int64)
+    for i in range(0, lanes.shape[1], 128):
+        four = lanes[:, i : i + 128].sum(1)
+        out += sum(((four >> _U(k)) & _U(0xFFFF)).astype(np.int64) for k in (0, 16, 32, 48))
+    return out
+
+
+def _folded(h: np.ndarray, groups: int) -> np.ndarray:
+    """Histograms with fewer groups; counts stop at 255."""
+    return h if h.shape[-1] == groups else np.minimum(h.reshape(*h.shape[:-1], groups, -1).sum(-1, dtype=np.int64), 255).astype(np.uint8)
+
+
 def may_link(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Where sets of n and m tokens with histograms x and y (rows; numbers of groups may differ) can be similar."""
     k = min(x.shape[-1], y.shape[-1])
-    fold = lambda h: h if h.shape[-1] == k else h.astype(np.int16).reshape(*h.shape[:-1], k, -1).sum(-1)
-    both = np.minimum(fold(x), fold(y)).sum(-1, dtype=np.int64)
+    x, y = _folded(x, k), _folded(y, k)
+    both = least_sums(x, y)
     full = (x.max(-1) == 255) | (y.max(-1) == 255)  # such counts may be larger
     return full | (100 * both >= PER_CENT * (n + m - both))
 
 
-def _arrays(column: list[bytes]) -> list[np.ndarray]:
-    return [np.frombuffer(h, np.uint8) for h in column]
-
-
 def _plausible(pairs: DataFrame, classes: DataFrame, kind: str) -> DataFrame:
     """The pairs (a, b) of representatives that their sets' histograms do not rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y, n, m = (batch.column(i).to_pylist() for i in range(2, 6))
-            keep = [bool(may_link(*v)) for v in zip(_arrays(x), _arrays(y), n, m, strict=True)]
+            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            n, m = batch.column(4).to_numpy(), batch.column(5).to_numpy()
+            keep = np.zeros(len(x), bool)
+            kinds = np.array([(len(h), len(g)) for h, g in zip(x, y, strict=True)]).reshape(-1, 2)
+            for one, two in np.unique(kinds, axis=0):
+                at = np.flatnonzero((kinds == (one, two)).all(1))
+                for some in np.array_split(at, -(-len(at) // CHUNK)):
+                    rows = lambda h, k: np.frombuffer(b"".join(h[i] for i in some), np.uint8).reshape(-1, k)  # noqa: B023, E731
+                    keep[some] = may_link(rows(x, one), rows(y, two), n[some], m[some])
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("histogram").alias(f"h{x}"), F.col("n").alias(f"n{x}"))
@@ -193,22 +212,6 @@ def _plausible(pairs: DataFrame, classes: DataFrame, kind: str) -> DataFrame:
     return joined.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def least_sums(own: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Sums of the smaller counts of one histogram and each of others (rows)."""
-    pairs = np.minimum(others, own).view(_U)
-    lanes = (pairs & _U(0x00FF00FF00FF00FF)) + ((pairs >> _U(8)) & _U(0x00FF00FF00FF00FF))  # up to 510 in 16 bits
-    out = np.zeros(len(others), np.int64)
-    for i in range(0, lanes.shape[1], 128):
-        four = lanes[:, i : i + 128].sum(1)
-        out += sum(((four >> _U(k)) & _U(0xFFFF)).astype(np.int64) for k in (0, 16, 32, 48))
-    return out
-
-
-def _folded(h: np.ndarray, groups: int) -> np.ndarray:
-    """Histograms with fewer groups; counts stop at 255."""
-    return h if h.shape[-1] == groups else np.minimum(h.reshape(*h.shape[:-1], groups, -1).sum(-1, dtype=np.int64), 255).astype(np.uint8)
-
-
 def _cell(one: np.ndarray, two: np.ndarray, x: np.ndarray, part: np.ndarray, n: np.ndarray, bits: np.ndarray, hist: list) -> Iterator[tuple]:
     """Pairs of a set in `one` that is not free and a smaller set in `two` whose histograms allow a link."""
     two = two[np.argsort(n[two], kind="stable")]
@@ -369,7 +372,7 @@ def _packed(docs: DataFrame, id_col: str, text_col: str, others: dict[int, int],
 def _bucket_pairs(table: pa.Table) -> pa.Table:
     """Candidate pairs of one bucket; hub pairs where more than FEW sets share a signature, the hub with itself too.
 
-    f0, f1, f2: how many such signatures b has with that hub in its own band, one and two below.
+    rare: whether they share a signature that is not frequent. f0, f1, f2: how many frequent signatures b has with that hub in its own band, one and two below.
     """
     classes, sigs, refs, roles, base = [], [], [], [], 0
     for c, r, s, o in zip(*(table.column(x).to_pylist() for x in ("classes", "refs", "sigs", "roles")), strict=True):
@@ -413,11 +416,11 @@ def _bucket_pairs(table: pa.Table) -> pa.Table:
     plain = np.unique(np.concatenate(plain))
     hub, at = np.unique(np.concatenate(hubs) // REACH if hubs else np.zeros(0, np.int64), return_inverse=True)
     often = np.bincount(at * REACH + np.concatenate(hubs) % REACH, minlength=REACH * len(hub)) if hubs else np.zeros(0, np.int64)
-    plain = plain[~np.isin(plain, hub)]
-    both = np.concatenate([hub, plain])
+    both = np.union1d(hub, plain)
     left, right = (pa.array([x.tobytes() for x in names[i]], pa.binary()) for i in (both // max(1, count), both % max(1, count)))
-    often = np.concatenate([often.reshape(-1, REACH), np.zeros((len(plain), REACH), np.int64)]).astype(np.int32)
-    return pa.table({"a": left, "b": right, "hub": pa.array(np.arange(len(both)) < len(hub)), **{f"f{o}": pa.array(often[:, o]) for o in range(REACH)}})
+    counts = np.zeros((len(both), REACH), np.int32)
+    counts[np.searchsorted(both, hub)] = often.reshape(-1, REACH)
+    return pa.table({"a": left, "b": right, "hub": pa.array(np.isin(both, hub)), "rare": pa.array(np.isin(both, plain)), **{f"f{o}": pa.array(counts[:, o]) for o in range(REACH)}})
 
 
 def _sets_of(rows: DataFrame) -> DataFrame:
@@ -488,12 +491,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     # signatures are about half as many as tokens; a bucket holds about a million
     bits = min(16, max(6, int(np.ceil(np.log2(max(1, sum(r["n"] for r in stats) / 2_000_000))))))
     packed = _packed(docs, id_col, text_col, others, bits)
-    pairs = packed.groupBy("bucket").applyInArrow(_bucket_pairs, "a binary, b binary, hub boolean, f0 int, f1 int, f2 int")
-    pairs = pairs.groupBy("a", "b").agg(F.max("hub").alias("hub"), F.count("*").alias("k"), *(F.sum(f).alias(f) for f in ("f0", "f1", "f2")))
+    pairs = packed.groupBy("bucket").applyInArrow(_bucket_pairs, "a binary, b binary, hub boolean, rare boolean, f0 int, f1 int, f2 int")
+    pairs = pairs.groupBy("a", "b").agg(F.max("hub").alias("hub"), F.max("rare").alias("rare"), F.count("*").alias("k"), *(F.sum(f).alias(f) for f in ("f0", "f1", "f2")))
     for x in ("a", "b"):
         pairs = pairs.join(classes.select(F.col("class").alias(x), F.col("rep").alias(f"r{x}")), x)
-    pairs = durable(pairs.select(F.col("ra").alias("a"), F.col("rb").alias("b"), "hub", "k", "f0", "f1", "f2"))
-    hubs, pairs = pairs.where("hub"), pairs.where("a <> b").select("a", "b", "k")
+    pairs = durable(pairs.select(F.col("ra").alias("a"), F.col("rb").alias("b"), "hub", "rare", "k", "f0", "f1", "f2"))
+    hubs, pairs = pairs.where("hub"), pairs.where("a <> b").select("a", "b", "k", "rare")
     del packed
     release(docs)
     unique = not _repeats(rows)
@@ -516,12 +519,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     # first each set's likeliest partner: copies come together, and their other pairs need no look
     first = pairs.groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a"))
     parts = graph.components(linked(_plausible(first, classes, kind)), "a", "b")
-    rest = apart(pairs.join(first, ["a", "b"], "left_anti").select("a", "b"), parts).where("ca <> cb").select("a", "b")
+    # pairs that only frequent signatures have brought together are left to their hubs
+    rest = apart(pairs.where("rare").join(first, ["a", "b"], "left_anti").select("a", "b"), parts).where("ca <> cb").select("a", "b")
     often = hubs.groupBy(F.col("b").alias("rep")).agg(*(F.sum(f).alias(f) for f in ("f0", "f1", "f2")))
     often = often.join(classes.select("rep", "n"), "rep")
     members = hubs.select(F.col("a").alias("hub"), F.col("b").alias("x")).join(_bounds(often, kind).withColumnRenamed("rep", "x"), "x")
     members = members.join(parts.select(F.col("node").alias("x"), F.col("component").alias("part")), "x", "left").withColumn("part", F.coalesce("part", "x"))
-    tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    tested = pairs.where("rare").select("a", "b").unionAll(first.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = _within_hubs(members.select("hub", "x", "part", "bits", "n"), classes, kind).join(tested, ["a", "b"], "left_anti")
     parts = _merged(parts, linked(_plausible(rest, classes, kind).unionAll(more)))
     named = classes.select("class", "rep").join(parts, F.col("rep") == F.col("node"), "left").select("class", F.coalesce("component", "rep").alias("component_id"))
