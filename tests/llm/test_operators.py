@@ -189,6 +189,41 @@ def test_jaccard(spark, docs):
     assert len(jaccard.join(docs).collect()) == len(TEXTS) and jaccard.join(nothing(docs)).count() == 0
 
 
+def test_jaccard_passages(spark):
+    """Texts that share a frequent passage: only those that also share the rest link."""
+    rng = random.Random(11)
+    words = ["w%d" % i for i in range(5000)]
+    passage = [rng.choice(words) for _ in range(90)]
+    texts = []
+    for k in range(90):
+        own = [rng.choice(words) for _ in range((40, 20, 90, 300)[k % 4])]
+        if k % 5 == 0 and k:
+            own = texts[k - 4][1].split()[len(passage) :]
+            for _ in range(k // 15):
+                own[rng.randrange(len(own))] = rng.choice(words)
+        texts.append((k, " ".join(passage + own)))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in texts)}
+    links = [(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    part = {i: i for i in sets} | dict(graph.forest(links))
+    assert len(links) >= 8 and got == part
+
+
+def test_jaccard_histograms():
+    rng = np.random.default_rng(3)
+    for sizes in ((300, 330), (1900, 2100), (9900, 10_400)):
+        both = rng.integers(0, 2**63, sizes[0] * 9 // 10).astype(np.uint64)
+        sets = [np.unique(np.concatenate([both, rng.integers(0, 2**63, n - len(both)).astype(np.uint64)])) for n in sizes]
+        x, y = (np.frombuffer(jaccard.histogram(u), np.uint8)[None, :] for u in sets)
+        k = min(x.shape[1], y.shape[1])
+        x, y = jaccard._folded(x, k), jaccard._folded(y, k)
+        assert jaccard.least_sums(x, y)[0] == np.minimum(x, y).sum(dtype=int) >= len(both)
+    assert jaccard.bound(300, [0, 0, 0]) == 0 and jaccard.bound(20, [1, 0, 0]) == 1
+    m, high = jaccard.segments(jaccard.band_of(300)), jaccard.BANDS[jaccard.band_of(300)][1]
+    spare = m - jaccard.budget(300, high) - 2
+    assert jaccard.bound(300, [spare, 0, 0]) == 0 and jaccard.bound(300, [spare + 1, 0, 0]) == 1
+
+
 def test_secrets(spark, docs):
     assign = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
     rng = random.Random(3)
