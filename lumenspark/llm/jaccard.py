@@ -212,10 +212,13 @@ def _plausible(pairs: DataFrame, classes: DataFrame, kind: str) -> DataFrame:
     return joined.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _cell(one: np.ndarray, two: np.ndarray, x: np.ndarray, part: np.ndarray, n: np.ndarray, bits: np.ndarray, hist: list) -> Iterator[tuple]:
-    """Pairs of a set in `one` that is not free and a smaller set in `two` whose histograms allow a link."""
+def _cell(one: np.ndarray, two: np.ndarray, x: np.ndarray, part: np.ndarray, n: np.ndarray, bits: np.ndarray, hist: list, before: list[np.ndarray]) -> Iterator[tuple]:
+    """Pairs of a set in `one` that is not free and a smaller set in `two` whose histograms allow a link.
+
+    before: each row's hubs that are smaller than this one. A pair that has such a hub in common is left to the smallest.
+    """
     two = two[np.argsort(n[two], kind="stable")]
-    sizes, parts, ids = n[two], part[two], x[two]
+    sizes, parts = n[two], part[two]
     held: dict[tuple[int, int], list] = {}  # rows of `two` with so many groups, folded to so many
 
     def folded(size: int, groups: int) -> tuple:
@@ -228,7 +231,7 @@ def _cell(one: np.ndarray, two: np.ndarray, x: np.ndarray, part: np.ndarray, n:
 
     kinds = sorted({len(hist[i]) for i in two})
     for i in one[bits[one] > 0]:
-        size, own = int(n[i]), band_of(int(n[i]))
+        size, own, mine_before = int(n[i]), band_of(int(n[i])), set(before[i].tolist())
         for o in range(min(REACH, own + 1)):
             if not bits[i] >> o & 1:
                 continue
@@ -251,20 +254,21 @@ def _cell(one: np.ndarray, two: np.ndarray, x: np.ndarray, part: np.ndarray, n:
                 both = both[apart] if len(rows) > len(apart) else both
                 at = start + c + apart
                 ok = full[c:d][apart] | (mine.max() == 255) | (100 * both >= PER_CENT * (size + sizes[at] - both))
-                for y in ids[at[ok]]:
-                    if y != x[i]:
-                        yield min(x[i], y), max(x[i], y)
+                for j in two[at[ok]]:
+                    if x[j] != x[i] and mine_before.isdisjoint(before[j].tolist()):
+                        yield min(x[i], x[j]), max(x[i], x[j])
 
 
 def _within_hubs(members: DataFrame, classes: DataFrame, kind: str) -> DataFrame:
     """Pairs of a hub's members(hub, x, part, bits, n) that are in different parts and that histograms allow; one is not free.
 
     A cell has a chunk of those that are not free (looks) and a chunk of those whose sizes come into question for some.
+    Sets often have many hubs in common: each row names the set's smaller hubs, so that only the smallest common one emits a pair.
     """
-    names = ("hub", "ci", "cj", "looks", "x", "part", "bits", "n", "histogram")
+    names = ("hub", "ci", "cj", "looks", "x", "part", "bits", "n", "histogram", "before")
 
     def judge(rows: dict) -> Iterator[tuple]:
-        yield from _cell(np.flatnonzero(rows["looks"]), np.flatnonzero(~rows["looks"]), *(rows[c] for c in ("x", "part", "n", "bits", "histogram")))
+        yield from _cell(np.flatnonzero(rows["looks"]), np.flatnonzero(~rows["looks"]), *(rows[c] for c in ("x", "part", "n", "bits", "histogram", "before")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -273,7 +277,10 @@ def _within_hubs(members: DataFrame, classes: DataFrame, kind: str) -> DataFrame
         def close() -> pa.RecordBatch | None:
             if sum(h.num_rows for h in held) > 1:
                 t = pa.Table.from_batches(held)
-                found.update(judge({c: t.column(c).to_pylist() if c == "histogram" else np.array(t.column(c).to_numpy()) for c in names}))
+                rows = {c: t.column(c).to_pylist() if c == "histogram" else np.array(t.column(c).to_numpy()) for c in names[:-1]}
+                lists = t.column("before").combine_chunks()
+                rows["before"] = np.split(lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())[:-1])
+                found.update(judge(rows))
             if len(found) > 20_000 or (last is None and found):
                 out = pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
                 found.clear()
@@ -307,9 +314,11 @@ def _within_hubs(members: DataFrame, classes: DataFrame, kind: str) -> DataFrame
     near = F.col("n").between(F.col("low"), F.col("high"))
     one = F.filter(F.transform(F.sequence(F.lit(0), F.col("kj") - 1), lambda j: cell(True, chunk("ki"), j)), lambda _: looks)
     two = F.filter(F.transform(F.sequence(F.lit(0), F.col("ki") - 1), lambda i: cell(False, i, chunk("kj"))), lambda _: near)
-    rows = rows.select("hub", "x", "part", "bits", "n", F.explode(F.concat(one, two)).alias("cell"))
-    rows = rows.join(classes.select(F.col("rep").alias("x"), "histogram"), "x")
-    rows = rows.select("hub", "cell.ci", "cell.cj", "cell.looks", "x", "part", "bits", "n", "histogram")
+    rows = rows.where(looks | near)
+    of_set = rows.groupBy("x").agg(F.collect_list("hub").alias("hubs")).join(classes.select(F.col("rep").alias("x"), "histogram"), "x")
+    rows = rows.select("hub", "x", "part", "bits", "n", F.explode(F.concat(one, two)).alias("cell")).join(of_set, "x")
+    before = F.filter("hubs", lambda g: g < F.col("hub"))  # a set has at most as many hubs as signatures
+    rows = rows.select("hub", "cell.ci", "cell.cj", "cell.looks", "x", "part", "bits", "n", "histogram", before.alias("before"))
     rows = rows.repartition("hub", "ci", "cj").sortWithinPartitions("hub", "ci", "cj")
     return rows.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
