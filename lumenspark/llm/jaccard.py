@@ -26,7 +26,8 @@ pairs with the smallest (the hub) are formed. First each set is compared with it
 which brings copies together. Then the pairs whose ends are still apart are compared, and each set
 that is not free with those sets of its hubs that are no larger, still apart and allowed by their
 histograms. So no link that could join two components is left out, and no group of copies emits all
-its pairs. A hub with many sets is dealt to cells of chunk pairs.
+its pairs. A hub with many sets is dealt to cells of chunk pairs. Sets that have several hubs in common
+form a pair in the smallest of these only.
 
 Edge cases: null, empty and blank texts have the empty set and link with nothing; repeated ids each
 give rows with the component of the class; a null id is never the smallest; an empty table gives an

@@ -284,3 +284,12 @@ def test_pipeline(spark):
     items = [decontaminate.normal(r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     assert not any(i in decontaminate.normal(kept[d]) for d in out for i in items)
     assert corpus_pipeline.drop_near_copies(spark, nothing(docs), DATA).count() == 0
+
+
+def test_pairs_of_sets_with_several_hubs_come_from_the_smallest():
+    sets = [np.arange(40, dtype=np.uint64) << np.uint64(58), np.arange(40, dtype=np.uint64) << np.uint64(58)]
+    args = [np.array([7, 9]), np.array([7, 9]), np.array([40, 40]), np.array([7, 7]), [jaccard.histogram(u) for u in sets]]
+    cell = lambda *before: list(jaccard._cell(np.array([0]), np.array([1]), *args, [np.array(b, np.int64) for b in before]))
+    assert cell([], []) == [(7, 9)]
+    assert cell([1, 3], [2]) == [(7, 9)]  # no smaller hub in common
+    assert cell([1, 3], [2, 3]) == []  # left to hub 3
