@@ -3,11 +3,11 @@
 Per language, a table of smoothed log likelihoods of hashed byte trigrams is learnt. A text is cut
 into windows of WINDOW bytes; each window's log likelihood under every language is the sum over its
 trigrams. Expectation maximisation then estimates the text's language proportions from the windows.
-The language set is chosen among the leading 1, 2, ... languages by likelihood less a penalty of
-PENALTY * log(windows) per language. The prediction is the leading language of the chosen set, the
-score its proportion.
+The language set is chosen among the leading 1, 2, ... up to all languages by likelihood less a penalty
+of PENALTY * log(windows) per language. The prediction is the leading language of the chosen set, the
+score its proportion; mixture holds the proportions of the whole set.
 
-Edge cases: a null text, or one without a letter, is ``und`` with score 0; repeated rows each give a
+Edge cases: a null text, or one without a letter, is ``und`` with score 0 and an empty mixture; repeated rows each give a
 row; an empty table gives an empty table; rows without a language are not learnt from; without any
 language training raises ValueError; only the named columns are read.
 """
@@ -32,8 +32,6 @@ BITS = 16
 WINDOW = 48
 ROUNDS = 12
 PENALTY = 1.0
-#: Languages in one text's set at most that are tried; more never won in a mixture of windows this short.
-MOST = 3
 _LETTER = re.compile(r"[^\W\d_]")
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -91,8 +89,8 @@ def _mixture(like: np.ndarray, shift: np.ndarray, bounds: np.ndarray, mask: np.n
     return pi, row_sums(total + shift, bounds)
 
 
-def infer(model: Model, s: Slice) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the predicted language and its proportion, per text."""
+def infer(model: Model, s: Slice) -> np.ndarray:
+    """Proportions [text, language] of the chosen set; 0 outside it."""
     k = len(model.languages)
     codes = trigrams(s.data)
     n = len(s)
@@ -104,31 +102,33 @@ def infer(model: Model, s: Slice) -> tuple[np.ndarray, np.ndarray]:
     shift = log.max(1) if len(log) else np.zeros(0)
     like = np.exp(log - shift[:, None])
     order = np.argsort(-_mixture(like, shift, bounds, np.ones((n, k), bool))[0], axis=1, kind="stable")
-    best, lang, share = np.full(n, -np.inf), np.zeros(n, int), np.zeros(n)
-    for size in range(1, min(k, MOST) + 1):
+    best, chosen = np.full(n, -np.inf), np.zeros((n, k))
+    for size in range(1, k + 1):
         mask = np.zeros((n, k), bool)
         np.put_along_axis(mask, order[:, :size], True, axis=1)
         pi, ll = _mixture(like, shift, bounds, mask)
         value = ll - PENALTY * (size - 1) * np.log(np.maximum(per, 2))
         better = value > best
         best = np.where(better, value, best)
-        lang = np.where(better, pi.argmax(1), lang)
-        share = np.where(better, pi.max(1), share)
-    return lang, share
+        chosen = np.where(better[:, None], pi, chosen)
+    return chosen
 
 
 def predict_table(df: DataFrame, model: Model, id_col="doc_id", text_col="text") -> DataFrame:
-    """(id, lang_pred, score) of every whole text."""
+    """(id, lang_pred, score, mixture) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in slices(batches):
-            lang, share = infer(model, s)
+            pi = infer(model, s)
             letter = np.array([_LETTER.search(t) is not None for t in s.texts.to_pylist()], bool)
-            names = [model.languages[x] if ok else "und" for x, ok in zip(lang, letter, strict=True)]
-            yield pa.RecordBatch.from_arrays([s.ids, pa.array(names), pa.array(np.where(letter, np.clip(share, 0, 1), 0.0))], names=["id", "lang_pred", "score"])
+            names = [model.languages[x] if ok else "und" for x, ok in zip(pi.argmax(1), letter, strict=True)]
+            score = pa.array(np.where(letter, np.clip(pi.max(1), 0, 1), 0.0))
+            sets = [[(model.languages[x], float(row[x])) for x in np.flatnonzero(row)] if ok else [] for row, ok in zip(pi, letter, strict=True)]
+            mixture = pa.array(sets, pa.map_(pa.string(), pa.float64()))
+            yield pa.RecordBatch.from_arrays([s.ids, pa.array(names), score, mixture], names=["id", "lang_pred", "score", "mixture"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return df.select(id_col, text_col).mapInArrow(run, f"id {kind}, lang_pred string, score double, mixture map<string,double>").withColumnRenamed("id", id_col)
 
 
 def fold(id_col: str, n: int):

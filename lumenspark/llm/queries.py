@@ -63,7 +63,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = langid.fit(docs, langid.fold("doc_id", 4) != 2)
     out = langid.predict_table(docs, model)
-    return out.select("doc_id", (langid.fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", (langid.fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "mixture")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

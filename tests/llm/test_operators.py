@@ -293,3 +293,19 @@ def test_pairs_of_sets_with_several_hubs_come_from_the_smallest():
     assert cell([], []) == [(7, 9)]
     assert cell([1, 3], [2]) == [(7, 9)]  # no smaller hub in common
     assert cell([1, 3], [2, 3]) == []  # left to hub 3
+
+
+def test_langid_finds_mixtures_of_four_languages(spark):
+    rng = random.Random(8)
+    names = ["aa", "bb", "cc", "dd"]
+    words = {x: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(300)] for x, letters in zip(names, ("abcdefgh", "ghijklmn", "mnopqrst", "stuvwxyz"), strict=True)}
+    text = lambda x, n: " ".join(rng.choice(words[x]) for _ in range(n))
+    model = langid.train([text(x, 3000) for x in names], names)
+    shares = [(1, (0.25,) * 4), (2, (0.19, 0.31, 0.27, 0.23)), (3, (0, 0, 1, 0))]
+    rows = [(i, " ".join(text(x, int(4000 * p)) for x, p in zip(names, own, strict=True))) for i, own in shares] + [(4, None)]
+    got = {r["doc_id"]: r for r in langid.predict_table(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for i, own in shares:
+        want = {x: p for x, p in zip(names, own, strict=True) if p}
+        assert set(got[i]["mixture"]) == set(want) and all(abs(got[i]["mixture"][x] - p) < 0.02 for x, p in want.items())
+        assert abs(got[i]["score"] - max(own)) < 0.02
+    assert got[2]["lang_pred"] == "bb" and got[3]["lang_pred"] == "cc" and (got[4]["lang_pred"], got[4]["mixture"]) == ("und", {})
