@@ -96,7 +96,7 @@ def _tables(classes: DataFrame, bits: int, tables: int) -> DataFrame:
                 need = -(-bits * tables // d)
                 signs = np.concatenate([u @ rotation(d, i + 1).T >= 0 for i in range(need)], 1)[:, : bits * tables]
                 code = signs.reshape(len(at), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
-                all_[at] = (code * 1_000_003) ^ d if len(set(map(len, vecs))) > 1 else code
+                all_[at] = (code * 1_000_003) ^ d  # the same in every batch, whatever lengths lie in it
             packed = [r.tobytes() for r in all_]
             for t in range(tables):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(vecs), t, np.int32)), pa.array(all_[:, t]), batch.column(0), batch.column(1), batch.column(2), pa.array(packed, pa.binary())], names=["t", "bucket", "rep", "n", "vec", "buckets"])

@@ -309,3 +309,16 @@ def test_langid_finds_mixtures_of_four_languages(spark):
         assert set(got[i]["mixture"]) == set(want) and all(abs(got[i]["mixture"][x] - p) < 0.02 for x, p in want.items())
         assert abs(got[i]["score"] - max(own)) < 0.02
     assert got[2]["lang_pred"] == "bb" and got[3]["lang_pred"] == "cc" and (got[4]["lang_pred"], got[4]["mixture"]) == ("und", {})
+
+
+def test_near_dedup_buckets_do_not_depend_on_the_batch(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((200, 16))
+    rows = [(i, r.tolist()) for i, r in enumerate(np.vstack([x, x + 0.01 * rng.standard_normal(x.shape)]))] + [(900, [1.0, 2.0]), (901, [1.0, 2.01])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # classes lie in several partitions
+    try:
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_dedup.link(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {i: (1, i % 200) for i in range(400)} | {900: (1, 900), 901: (1, 900)}
