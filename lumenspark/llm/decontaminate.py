@@ -4,19 +4,21 @@ A benchmark item of m characters may occur in a text with up to k = m * EDIT_RAT
 k + 1 pieces, at least one piece occurs unchanged, at about its own place in the item. An
 Aho-Corasick automaton finds exact piece hits in one pass over each whole text; around each hit,
 Myers' bit-parallel algorithm finds the least edit distance of the item to any part of the text.
+Items shorter than MIN_CHARS have no edits: they are one piece, found where they stand verbatim and do
+not begin or end inside a word (in scripts that set blanks between words).
 
 Texts and items are compared in lower case with runs of white space as one blank; positions refer to
 that form. The benchmark is read in blocks of BLOCK_CHARS characters, one pass over the texts per
 block, so what is sent to executors stays bounded whatever the benchmark's size.
 
-Edge cases: null and empty texts match nothing; items that are null or shorter than MIN_CHARS
-after normalisation are not searched for, as they would match by chance; items with equal text each give
-their rows; repeated documents each give rows; empty tables give an empty table; only the named
-columns are read.
+Edge cases: null and empty texts match nothing, nor do items that are null or empty after
+normalisation; items with equal text each give their rows; repeated documents each give rows; empty
+tables give an empty table; only the named columns are read.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -27,7 +29,10 @@ from pyspark.sql import functions as F
 from .arrow import slices
 
 EDIT_RATE = 0.08
+#: Shorter items must occur without edits.
 MIN_CHARS = 40
+#: Scripts whose words are not set apart by blanks, or take endings without one.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
 BLOCK_CHARS = 4_000_000
 
 
@@ -35,6 +40,12 @@ def normal(text: str) -> str:
     return " ".join(text.lower().split())
 
 
+def in_word(text: str, at: int) -> bool:
+    """Whether the characters on both sides of a position belong to one word."""
+    both = text[max(0, at - 1) : at + 1]
+    return 0 < at < len(text) and all(c.isalnum() or c == "_" for c in both) and not _UNSPACED.search(both)
+
+
 def pieces(m: int, k: int) -> list[tuple[int, int]]:
     """k + 1 pieces of as equal lengths as can be."""
     cuts = [m * i // (k + 1) for i in range(k + 2)]
@@ -82,9 +93,9 @@ class Matcher:
     def __init__(self, items: list[tuple[object, str]], rate: float = EDIT_RATE):
         by_text: dict[str, list] = {}
         for i, text in items:
-            if text and len(t := normal(text)) >= MIN_CHARS:
+            if text and (t := normal(text)):
                 by_text.setdefault(t, []).append(i)
-        self.patterns = [Pattern(t, int(len(t) * rate)) for t in by_text]
+        self.patterns = [Pattern(t, int(len(t) * rate) if len(t) >= MIN_CHARS else 0) for t in by_text]
         self.ids = list(by_text.values())
         where: dict[str, list[tuple[int, int]]] = {}
         for p, pattern in enumerate(self.patterns):
@@ -109,6 +120,11 @@ class Matcher:
         for p, at in starts.items():
             pattern, best = self.patterns[p], None
             k, done = pattern.k, -1
+            if pattern.m < MIN_CHARS:
+                ends = (s + pattern.m for s in at if not in_word(text, s) and not in_word(text, s + pattern.m))
+                if end := next(ends, None):
+                    out += [(i, 0, end, len(at)) for i in self.ids[p]]
+                continue
             for s in sorted(at):  # the item would begin about here, k places off at most
                 if best and not best[0]:
                     break

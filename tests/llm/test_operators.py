@@ -322,3 +322,11 @@ def test_near_dedup_buckets_do_not_depend_on_the_batch(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert got == {i: (1, i % 200) for i in range(400)} | {900: (1, 900), 901: (1, 900)}
+
+
+def test_decontaminate_finds_short_items_verbatim(spark):
+    d = spark.createDataFrame([(1, "Ask: what  is\nPI?"), (2, "what is pie"), (3, "what is p"), (4, "这是正确答案吗"), (5, "whatispi"), (6, "1 pi")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, "What is pi"), (2, "正确答案"), (3, " "), (4, "pi"), (5, "what is pi")], "item_id long, text string")
+    got = sorted(tuple(r) for r in decontaminate.find_leaks(d, b).collect())
+    assert got == [(1, 1, 0, 15), (1, 4, 0, 15), (1, 5, 0, 15), (4, 2, 0, 6), (6, 4, 0, 4)]
+    assert sorted(r["doc_id"] for r in decontaminate.drop_leaks(d, b).collect()) == [2, 3, 5]
