@@ -27,7 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of linked documents the one with the smallest id; texts without words stay."""
-    groups = jaccard.join(docs.select("doc_id", "text"))
+    groups = jaccard.join(docs.select("doc_id", "text"), count=False)
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
     return docs.join(kept.distinct(), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*COLUMNS)
 

@@ -29,6 +29,10 @@ histograms. So no link that could join two components is left out, and no group
 its pairs. A hub with many sets is dealt to cells of chunk pairs. Sets that have several hubs in common
 form a pair in the smallest of these only.
 
+*Counts.* That gives the components. Links lie within these, so each component's sets are then dealt to
+cells of chunk pairs, where all pairs of sizes that can link are compared exactly; cells give out each
+set's number of links, never the links.
+
 Edge cases: null, empty and blank texts have the empty set and link with nothing; repeated ids each
 give rows with the component of the class; a null id is never the smallest; an empty table gives an
 empty table; only the named columns are read. Hashes are of 64 bits: two given sets of a thousand
@@ -52,6 +56,8 @@ PER_CENT = 80
 SMALL = 32
 FEW = 5
 CHUNK = 1024
+#: Tokens of a chunk of sets, about, when links are counted.
+CELL_TOKENS = 4_000_000
 INDEX, PROBE, DELETED = 1, 2, 4
 #: Roles also hold how many bands below its own a set looks, from this bit on.
 BELOW = 3
@@ -485,16 +491,97 @@ def _bounds(often: DataFrame, kind: str) -> DataFrame:
     return often.select("rep", "f0", "f1", "f2", "n").mapInArrow(run, f"rep {kind}, bits int, n long")
 
 
+def _degrees(classes: list[bytes], sets: list[np.ndarray], copies: np.ndarray, chunk: np.ndarray, cross: bool) -> np.ndarray:
+    """Per set, the copies of all sets that are similar to it; with cross, of those in the other chunk."""
+    n = np.array([len(u) for u in sets])
+    order = np.lexsort((classes, n))
+    n, copies, chunk = n[order], copies[order], chunk[order]
+    ids = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)[1]
+    edges = np.concatenate([[0], np.cumsum(n)])
+    mark = np.zeros(ids.max() + 1, bool)
+    degree = np.zeros(len(n), np.int64)
+    low = np.searchsorted(n, -(-n * PER_CENT // 100))
+    for i in range(len(n)):
+        own, a = ids[edges[i] : edges[i + 1]], low[i]
+        if a >= i or cross and (chunk[a:i] == chunk[i]).all():
+            continue
+        mark[own] = True
+        both = np.add.reduceat(mark[ids[edges[a] : edges[i]]], edges[a:i] - edges[a], dtype=np.int64)
+        mark[own] = False
+        ok = 100 * both >= PER_CENT * (n[i] + n[a:i] - both)
+        if cross:
+            ok &= chunk[a:i] != chunk[i]
+        degree[i] += copies[a:i][ok].sum()
+        degree[a:i][ok] += copies[i]
+    out = np.empty_like(degree)
+    out[order] = degree
+    return out
+
+
+def _links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(class, links): how many rows of other classes each class of classes(class, rep, n, copies, part) links with.
+
+    Links lie within components. A component's sets are dealt to cells of chunk pairs, where all pairs are compared; cells give sums, not pairs.
+    """
+    names = ("part", "ci", "cj", "chunk", "class", "copies", "text")
+
+    def judge(held: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        t = pa.Table.from_batches(held)
+        found: dict[bytes, tuple] = {}
+        own, copies, chunk = t.column("class").to_pylist(), t.column("copies").to_numpy(), t.column("chunk").to_numpy()
+        at = 0
+        for s in slices(pa.table({"at": np.arange(len(t)), "text": t.column("text")}).to_batches()):
+            for u in shingles.sets(s):
+                if own[at] not in found and shingles.digest(u) == own[at]:  # ids may repeat with other texts
+                    found[own[at]] = (u, copies[at], chunk[at])
+                at += 1
+        if len(found) < 2:
+            return None
+        sets, copies, chunk = zip(*found.values(), strict=True)
+        degree = _degrees(list(found), list(sets), np.array(copies), np.array(chunk), held[0].column(1)[0] != held[0].column(2)[0])
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(degree)], names=["class", "links"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(k).to_numpy() for k in range(3)]
+            edges = graph.group_bounds(*keys)
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                key = tuple(k[a] for k in keys)
+                if key != last:
+                    if held and (made := judge(held)) is not None:
+                        yield made
+                    held, last = [], key
+                held.append(batch.slice(a, b - a))
+        if held and (made := judge(held)) is not None:
+            yield made
+
+    sizes = classes.groupBy("part").agg(F.count("*").alias("c"), F.sum("n").alias("tokens")).where("c > 1")
+    chunks = F.greatest(F.ceil(F.col("c") / CHUNK), F.ceil(F.col("tokens") / CELL_TOKENS)).cast("int")
+    rows = classes.join(sizes.select("part", chunks.alias("chunks")), "part").select("part", "rep", "class", "copies", "chunks", F.pmod(F.xxhash64("class"), "chunks").cast("int").alias("chunk"))
+    rows = rows.join(docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")), "rep")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.withColumns({"ci": F.least("chunk", "other"), "cj": F.greatest("chunk", "other")}).select(*names)
+    rows = rows.repartition("part", "ci", "cj").sortWithinPartitions("part", "ci", "cj")
+    return rows.mapInArrow(run, "class binary, links long").groupBy("class").agg(F.sum("links").alias("links"))
+
+
 def _repeats(rows: DataFrame) -> bool:
     """Whether any id has several rows."""
     return not rows.groupBy("id").count().where("count > 1").isEmpty()
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of every row: the smallest id that links reach, itself included."""
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count: bool = True) -> DataFrame:
+    """(id, n_shingles, component_id, n_links) of every row: the smallest id that links reach, itself included, and its number of links.
+
+    Without count, n_links is left out, for those who need components only.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = durable(describe(docs, id_col, text_col))
-    classes = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("rep"), F.min("band").alias("band"), F.max("n_shingles").alias("n"), F.max("histogram").alias("histogram"))
+    classes = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("rep"), F.min("band").alias("band"), F.max("n_shingles").alias("n"), F.max("histogram").alias("histogram"), F.count("*").alias("copies"))
     classes = durable(classes)
     stats = classes.groupBy("band").agg(F.count("*").alias("c"), F.sum("n").alias("n")).collect()  # one row per size band
     others = {r["band"]: r["c"] for r in stats}
@@ -538,6 +625,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     tested = pairs.where("rare").select("a", "b").unionAll(first.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = _within_hubs(members.select("hub", "x", "part", "bits", "n"), classes, kind).join(tested, ["a", "b"], "left_anti")
     parts = _merged(parts, linked(_plausible(rest, classes, kind).unionAll(more)))
-    named = classes.select("class", "rep").join(parts, F.col("rep") == F.col("node"), "left").select("class", F.coalesce("component", "rep").alias("component_id"))
-    out = rows.join(named, "class", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    named = classes.join(parts, F.col("rep") == F.col("node"), "left").select("class", "rep", "n", "copies", F.coalesce("component", "rep").alias("part"))
+    links = F.lit(0)
+    if count:
+        release(docs)
+        named = named.join(durable(_links(docs, named, id_col, text_col)), "class", "left")
+        links = F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0))
+    out = rows.join(named.drop("rep", "n"), "class", "left").withColumn("n_links", links)
+    out = out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("part", "id").alias("component_id"), "n_links")
+    return out if count else out.drop("n_links")

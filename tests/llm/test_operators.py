@@ -330,3 +330,28 @@ def test_decontaminate_finds_short_items_verbatim(spark):
     got = sorted(tuple(r) for r in decontaminate.find_leaks(d, b).collect())
     assert got == [(1, 1, 0, 15), (1, 4, 0, 15), (1, 5, 0, 15), (4, 2, 0, 6), (6, 4, 0, 4)]
     assert sorted(r["doc_id"] for r in decontaminate.drop_leaks(d, b).collect()) == [2, 3, 5]
+
+
+def test_jaccard_counts_all_links(spark):
+    """Also those within a component, across its chunks, and to exact copies."""
+    rng = random.Random(12)
+    words = ["w%d" % i for i in range(3000)]
+    base = [rng.choice(words) for _ in range(60)]
+    texts = []
+    for k in range(150):
+        own = list(base[: 60 - k % 9])
+        for _ in range(k % 4):
+            own[rng.randrange(len(own))] = rng.choice(words)
+        texts.append((k, " ".join(own)))
+    texts += [(200 + k, texts[k][1]) for k in range(20)] + [(300, "a b"), (301, "a b"), (302, "c"), (303, None), (304, ""), (1, texts[1][1]), (None, "c")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} or ({tuple(w)} if w else set()) for w in ((t or "").split() for _, t in texts)]
+    want = sorted((i or 0, len(s), sum(100 * len(s & z) >= 80 * len(s | z) for z in sets) - 1 if s else 0) for (i, _), s in zip(texts, sets, strict=True))
+    limit = jaccard.CHUNK
+    for jaccard.CHUNK in (limit, 40):
+        try:
+            got = jaccard.join(df).select("doc_id", "n_shingles", "n_links").collect()
+        finally:
+            jaccard.CHUNK = limit
+        assert sorted((r[0] or 0, r[1], r[2]) for r in got) == want
+    assert "n_links" not in jaccard.join(df, count=False).columns
