@@ -5,8 +5,10 @@ letters), written ECHO times so that even a short one has a compressed form. The
 dictionary holds the most frequent words of ordinary rows; the toxic dictionary the same and, before
 them, the words whose share of toxic rows far exceeds their share of ordinary rows. The bytes that
 the toxic dictionary saves in a window against the ordinary one, beyond a threshold, are summed over
-the text; a logistic curve over that sum, its share of all windows and the text's number of windows,
-fitted on the same sample, gives the score. Both the threshold and the curve are calibrated there.
+the text; a logistic curve over that sum, its share of all windows and the text's number of windows
+gives the score. How many words mark toxic rows, and the threshold, are those of MARKED and THRESHOLDS
+with the best likelihood in cross-validation: a third of the sample is read with dictionaries and a
+curve made from the others. The curve is fitted to what the rows save with dictionaries made without them.
 
 Edge cases: null and empty texts, and texts without letters, get the score of a text without toxic
 windows; repeated rows each give a row; an empty table gives an empty table; null labels are not
@@ -16,7 +18,6 @@ learnt from; without labels of both classes training raises ValueError; only the
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,15 +27,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import slices
+from .arrow import row_sums, slices
 
 #: Labelled rows that training reads at most, about; the classes have equal limits.
 TRAIN_ROWS = 8_000
 #: Characters of a training row that are read at most; scoring reads whole texts.
 TRAIN_CHARS = 50_000
 ECHO = 3
-#: Words in each dictionary at most; what a worker remembers of words is bounded as well.
-ORDINARY_WORDS, TOXIC_WORDS, REMEMBERED = 300, 160, 200_000
+#: Words of the ordinary dictionary at most; what a worker remembers of words is bounded as well.
+ORDINARY_WORDS, REMEMBERED = 300, 200_000
+#: Tried in cross-validation: words that mark toxic rows at most (all fit in zstandard's window), and thresholds in bytes.
+MARKED, THRESHOLDS, FOLDS = (20, 40, 80, 160, 320, 640), (1, 2, 3, 4, 5, 6), 3
 _WORD = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
 
 
@@ -88,7 +91,7 @@ class Reader:
     def features(self, text: bytes) -> list[float]:
         gain = self.savings(text)
         over = float(np.maximum(gain - self.model.threshold, 0).sum())
-        return [1.0, float(np.log1p(over)), float(np.log1p(100 * over / (len(gain) + 30))), float(np.log1p(len(gain)))]
+        return _columns(np.array([over]), np.array([len(gain)]))[0].tolist()
 
     def score(self, text: bytes) -> float:
         z = float(np.dot(self.model.weights, self.features(text)))
@@ -99,22 +102,55 @@ def train(toxic: list[str], ordinary: list[str]) -> Model:
     """Dictionaries, threshold and curve from texts of the two classes."""
     if not toxic or not ordinary:
         raise ValueError("training needs labelled rows of both classes")
-    bad, good = ([t.encode("utf-8", "replace").lower() for t in x] for x in (toxic, ordinary))
-    in_bad, in_good = (Counter(w for t in x for w in set(_WORD.findall(t)) if len(w) > 2) for x in (bad, good))
-    need = max(2, 0.006 * len(bad))
-    odds = sorted((c / len(bad) / ((in_good[w] + 0.5) / len(good)), w) for w, c in in_bad.items() if c >= need)
-    marked = [w for x, w in odds if x > 10][-TOXIC_WORDS:]
-    taken = set(marked)
-    plain = [w for w, _ in Counter(w for t in good for w in _WORD.findall(t)).most_common(ORDINARY_WORDS + len(marked)) if w not in taken]
-    shared = b"".join(map(written, plain[:ORDINARY_WORDS][::-1])) or b" " * 16
-    model = Model(b"".join(map(written, marked)) + shared, shared, 0.0, [0.0] * 4)
-    reader = model.reader()
-    gains = np.concatenate([reader.savings(t) for t in good] or [np.zeros(1)])
-    model.threshold = float(np.clip(np.quantile(gains, 0.98) if len(gains) else 3, 3, 4))
-    x = np.array([reader.features(t) for t in bad + good])
-    y = np.array([1.0] * len(bad) + [0.0] * len(good))
-    model.weights = _logistic(x, y)
-    return model
+    number: dict[bytes, int] = {}
+    rows = [np.array([number.setdefault(w, len(number)) for w in _WORD.findall(t.encode("utf-8", "replace").lower())], np.int64) for t in [*toxic, *ordinary]]
+    words = list(number)
+    y = np.array([1.0] * len(toxic) + [0.0] * len(ordinary))
+    fold = np.concatenate([np.arange(len(toxic)), np.arange(len(ordinary))]) % FOLDS
+    flat, edges = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    made = lambda keep, size: _dictionaries([rows[i] for i in np.flatnonzero(keep & (y == 1))], [rows[i] for i in np.flatnonzero(keep & (y == 0))], words, size)
+    best, chosen = -np.inf, None
+    for size in MARKED:
+        gain = np.zeros(len(flat), np.int64)
+        for f in range(FOLDS):
+            own = np.repeat(fold == f, np.diff(edges))
+            gain[own] = _gains(*made(fold != f, size), words)[flat[own]]
+        for threshold in THRESHOLDS:
+            over = row_sums(np.maximum(gain - threshold, 0).astype(np.float64), edges)
+            x, p = _columns(over, np.diff(edges)), np.zeros(len(y))
+            for f in range(FOLDS):
+                z = x[fold == f] @ np.array(_logistic(x[fold != f], y[fold != f]))
+                p[fold == f] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            fit_ = float(np.log(np.where(y == 1, p, 1 - p) + 1e-12).mean())
+            if fit_ > best:
+                best, chosen = fit_, (size, float(threshold), _logistic(x, y))
+    size, threshold, weights = chosen
+    return Model(*made(fold >= 0, size), threshold, weights)
+
+
+def _dictionaries(bad: list[np.ndarray], good: list[np.ndarray], words: list[bytes], size: int) -> tuple[bytes, bytes]:
+    """Toxic and ordinary dictionary from the windows (numbers of words) of each class's texts; size: words that mark toxic texts, at most."""
+    texts = lambda rows: np.bincount(np.concatenate([np.zeros(0, np.int64), *map(np.unique, rows)]), minlength=len(words))
+    in_bad, in_good = texts(bad), texts(good)
+    odds = in_bad / max(1, len(bad)) / ((in_good + 0.5) / max(1, len(good)))
+    able = (np.array([len(w) for w in words]) > 2) & (in_bad >= max(2, 0.006 * len(bad))) & (odds > 1)
+    marked = sorted(np.flatnonzero(able).tolist(), key=lambda i: (odds[i], words[i]))[-size:]
+    often = np.bincount(np.concatenate([np.zeros(0, np.int64), *good]), minlength=len(words))
+    often[marked] = 0
+    plain = [i for i in np.argsort(-often, kind="stable")[:ORDINARY_WORDS].tolist() if often[i]]
+    shared = b"".join(written(words[i]) for i in plain[::-1]) or b" " * 16
+    return b"".join(written(words[i]) for i in marked) + shared, shared
+
+
+def _gains(toxic: bytes, ordinary: bytes, words: list[bytes]) -> np.ndarray:
+    """Bytes that the toxic dictionary saves in each word's window."""
+    reader = Model(toxic, ordinary, 0.0, []).reader()
+    return np.array([len(reader.ordinary(e)) - len(reader.toxic(e)) for e in map(written, words)], np.int64)
+
+
+def _columns(over: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Rows of the curve's features."""
+    return np.column_stack([np.ones(len(over)), np.log1p(over), np.log1p(100 * over / (windows + 30)), np.log1p(windows)])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> list[float]:

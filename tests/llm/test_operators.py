@@ -355,3 +355,15 @@ def test_jaccard_counts_all_links(spark):
             jaccard.CHUNK = limit
         assert sorted((r[0] or 0, r[1], r[2]) for r in got) == want
     assert "n_links" not in jaccard.join(df, count=False).columns
+
+
+def test_toxicity_chooses_how_many_words_mark_toxic_texts():
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+    plain, marks = [word() for _ in range(200)], [word() for _ in range(400)]
+    text = lambda n: " ".join(rng.choice(plain) for _ in range(30)) + " " + " ".join(rng.choice(marks) for _ in range(n))
+    model = toxicity.train([text(5) for _ in range(600)], [text(0) for _ in range(600)])
+    assert sum(m.encode() in model.toxic for m in marks) > 300 and not any(m.encode() in model.ordinary for m in marks)
+    reader = model.reader()
+    assert np.mean([reader.score(text(3).encode()) > 0.5 for _ in range(200)]) > 0.95
+    assert np.mean([reader.score(text(0).encode()) < 0.5 for _ in range(200)]) > 0.95
