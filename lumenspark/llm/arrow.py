@@ -10,7 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one slice holds at most, unless a single text is longer.
 SLICE_BYTES = 1 << 21
@@ -64,16 +64,24 @@ def row_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one only on a local master, where there is one machine."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="checkpoints-")
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder in spark.checkpoint.dir; only where that is unset (tests), to a local one."""
+    """Checkpoint to the shared folder, so that lineage ends there and lost executors cost nothing."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-
-
 def release(df: DataFrame) -> None:
     """Let Spark delete shuffle files of plans that are no longer referred to; it does so when the driver collects garbage."""
     gc.collect()

@@ -33,8 +33,9 @@ form a pair in the smallest of these only.
 cells of chunk pairs, where all pairs of sizes that can link are compared exactly; cells give out each
 set's number of links, never the links.
 
-Edge cases: null, empty and blank texts have the empty set and link with nothing; repeated ids each
-give rows with the component of the class; a null id is never the smallest; an empty table gives an
+Edge cases: null, empty and blank texts have the empty set and link with nothing; ids that repeat,
+with the same or with different texts, each give a row by its own text; a row whose id is null takes
+part only through an equal text that has an id, and is never the smallest; an empty table gives an
 empty table; only the named columns are read. Hashes are of 64 bits: two given sets of a thousand
 shingles are misjudged with a chance below 1e-13.
 """
@@ -45,7 +46,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph, shingles
@@ -169,7 +170,7 @@ def bound(n: int, frequent: list[int]) -> int:
 
 def histogram(u: np.ndarray) -> bytes:
     """Tokens per hash group; larger sets have more groups, which can be summed to fewer."""
-    bits = 8 if len(u) <= 2000 else 10 if len(u) <= 10_000 else 12
+    bits = 6 if len(u) <= 500 else 8 if len(u) <= 2000 else 10 if len(u) <= 10_000 else 12
     return np.minimum(np.bincount((u >> _U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
@@ -198,8 +199,8 @@ def may_link(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
     return full | (100 * both >= PER_CENT * (n + m - both))
 
 
-def _plausible(pairs: DataFrame, classes: DataFrame, kind: str) -> DataFrame:
-    """The pairs (a, b) of representatives that their sets' histograms do not rule out."""
+def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that their sets' histograms do not rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,9 +215,9 @@ def _plausible(pairs: DataFrame, classes: DataFrame, kind: str) -> DataFrame:
                     keep[some] = may_link(rows(x, one), rows(y, two), n[some], m[some])
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda x: classes.select(F.col("rep").alias(x), F.col("histogram").alias(f"h{x}"), F.col("n").alias(f"n{x}"))
+    side = lambda x: classes.select(F.col("cid").alias(x), F.col("histogram").alias(f"h{x}"), F.col("n").alias(f"n{x}"))
     joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "ha", "hb", "na", "nb")
-    return joined.mapInArrow(run, f"a {kind}, b {kind}")
+    return joined.mapInArrow(run, "a long, b long")
 
 
 def _cell(one: np.ndarray, two: np.ndarray, x: np.ndarray, part: np.ndarray, n: np.ndarray, bits: np.ndarray, hist: list, before: list[np.ndarray]) -> Iterator[tuple]:
@@ -266,7 +267,7 @@ def _cell(one: np.ndarray, two: np.ndarray, x: np.ndarray, part: np.ndarray, n:
                         yield min(x[i], x[j]), max(x[i], x[j])
 
 
-def _within_hubs(members: DataFrame, classes: DataFrame, kind: str) -> DataFrame:
+def _within_hubs(members: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs of a hub's members(hub, x, part, bits, n) that are in different parts and that histograms allow; one is not free.
 
     A cell has a chunk of those that are not free (looks) and a chunk of those whose sizes come into question for some.
@@ -322,12 +323,12 @@ def _within_hubs(members: DataFrame, classes: DataFrame, kind: str) -> DataFrame
     one = F.filter(F.transform(F.sequence(F.lit(0), F.col("kj") - 1), lambda j: cell(True, chunk("ki"), j)), lambda _: looks)
     two = F.filter(F.transform(F.sequence(F.lit(0), F.col("ki") - 1), lambda i: cell(False, i, chunk("kj"))), lambda _: near)
     rows = rows.where(looks | near)
-    of_set = rows.groupBy("x").agg(F.collect_list("hub").alias("hubs")).join(classes.select(F.col("rep").alias("x"), "histogram"), "x")
+    of_set = rows.groupBy("x").agg(F.collect_list("hub").alias("hubs")).join(classes.select(F.col("cid").alias("x"), "histogram"), "x")
     rows = rows.select("hub", "x", "part", "bits", "n", F.explode(F.concat(one, two)).alias("cell")).join(of_set, "x")
     before = F.filter("hubs", lambda g: g < F.col("hub"))  # a set has at most as many hubs as signatures
     rows = rows.select("hub", "cell.ci", "cell.cj", "cell.looks", "x", "part", "bits", "n", "histogram", before.alias("before"))
     rows = rows.repartition("hub", "ci", "cj").sortWithinPartitions("hub", "ci", "cj")
-    return rows.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -356,7 +357,7 @@ def _packed(docs: DataFrame, id_col: str, text_col: str, others: dict[int, int],
             sig = np.concatenate([x for _, x, _ in held])
             role = np.concatenate([x for _, _, x in held])
             ref = np.repeat(np.arange(len(held), dtype=np.uint32), [len(x) for _, x, _ in held])
-            bucket = (sig >> _U(64 - bits)).astype(np.uint16)
+            bucket = (sig >> _U(64 - bits)).astype(np.uint32)
             order = np.argsort(bucket, kind="stable")
             sig, role, ref, bucket = ((sig >> _U(8)) & _U(0xFFFFFFFF)).astype(np.uint32)[order], role[order], ref[order], bucket[order]
             edges = graph.group_bounds(bucket)
@@ -440,13 +441,24 @@ def _bucket_pairs(table: pa.Table) -> pa.Table:
 
 
 def _sets_of(rows: DataFrame) -> DataFrame:
-    """(rep, set) of rows (rep, text)."""
+    """(cid, set) of rows (cid, class, text) whose text has the set of its class; an id may have other texts as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in slices(batches):
-            yield pa.RecordBatch.from_arrays([s.ids, pa.array([u.tobytes() for u in shingles.sets(s)], pa.binary())], names=["rep", "set"])
+        def numbered() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = pa.array(np.arange(batch.num_rows))
+                classes.clear()
+                classes.append((batch.column(0), batch.column(1).to_pylist()))
+                yield pa.RecordBatch.from_arrays([at, batch.column(2)], names=["at", "text"])
+
+        classes: list[tuple] = []
+        for s in slices(numbered()):
+            cids, own = classes[-1]
+            made = [(i, u) for i, u in zip(s.ids.to_pylist(), shingles.sets(s), strict=True) if shingles.digest(u) == own[i]]
+            if made:
+                yield pa.RecordBatch.from_arrays([cids.take(pa.array([i for i, _ in made])), pa.array([u.tobytes() for _, u in made], pa.binary())], names=["cid", "set"])
 
-    return rows.mapInArrow(run, f"rep {rows.schema['rep'].dataType.simpleString()}, set binary")
+    return rows.select("cid", "class", "text").mapInArrow(run, "cid long, set binary")
 
 
 def similar(a: bytes, b: bytes) -> bool:
@@ -460,35 +472,59 @@ def similar(a: bytes, b: bytes) -> bool:
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose sets are similar."""
-    kind = sets.schema["rep"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = [similar(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    side = lambda x: sets.select(F.col("rep").alias(x), F.col("set").alias(f"s{x}"))
+    side = lambda x: sets.select(F.col("cid").alias(x), F.col("set").alias(f"s{x}"))
     joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
-    out = durable(joined.mapInArrow(run, f"a {kind}, b {kind}"))
+    out = durable(joined.mapInArrow(run, "a long, b long"))
     release(pairs)
     return out
 
 
+def _flat(rows: DataFrame) -> DataFrame:
+    """(a, ca, b) of rows (a, ca, bs)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bs = batch.column(2)
+            at = pa.array(np.repeat(np.arange(batch.num_rows), bs.value_lengths().to_numpy()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), bs.flatten()], names=["a", "ca", "b"])
+
+    return rows.select("a", "ca", "bs").mapInArrow(run, "a long, ca long, b long")
+
+
+def _across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose ends are in different parts; parts(node, component) names every class.
+
+    A class carries its partners as one row until its component is known, and only pairs across
+    components leave the join: a group of copies that has come together gives none.
+    """
+    lists = pairs.groupBy("a").agg(F.collect_set("b").alias("bs"))  # a class has at most FEW - 1 partners a signature
+    known = lists.join(parts.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a")
+    other = parts.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    flat = _flat(known)
+    return flat.join(other, (flat["b"] == other["b"]) & (flat["ca"] != other["cb"])).select(flat["a"], flat["b"])
+
+
 def _merged(parts: DataFrame, links: DataFrame) -> DataFrame:
     """Components after more links."""
     return graph.components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(links.select("a", "b")), "a", "b")
 
 
-def _bounds(often: DataFrame, kind: str) -> DataFrame:
-    """(rep, bits, n) of rows (rep, f0, f1, f2, n)."""
+def _bounds(often: DataFrame) -> DataFrame:
+    """(x, bits, n) of rows (x, f0, f1, f2, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             f0, f1, f2, n = (batch.column(i).to_pylist() for i in range(1, 5))
             bits = [bound(m, f) for m, *f in zip(n, f0, f1, f2, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.int32()), batch.column(4)], names=["rep", "bits", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.int32()), batch.column(4)], names=["x", "bits", "n"])
 
-    return often.select("rep", "f0", "f1", "f2", "n").mapInArrow(run, f"rep {kind}, bits int, n long")
+    return often.select("x", "f0", "f1", "f2", "n").mapInArrow(run, "x long, bits int, n long")
 
 
 def _degrees(classes: list[bytes], sets: list[np.ndarray], copies: np.ndarray, chunk: np.ndarray, cross: bool) -> np.ndarray:
@@ -519,27 +555,27 @@ def _degrees(classes: list[bytes], sets: list[np.ndarray], copies: np.ndarray, c
 
 
 def _links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(class, links): how many rows of other classes each class of classes(class, rep, n, copies, part) links with.
+    """(cid, links): how many rows of other classes each class of classes(cid, class, rep, n, copies, part) links with.
 
     Links lie within components. A component's sets are dealt to cells of chunk pairs, where all pairs are compared; cells give sums, not pairs.
     """
-    names = ("part", "ci", "cj", "chunk", "class", "copies", "text")
+    names = ("part", "ci", "cj", "chunk", "class", "copies", "cid", "text")
 
     def judge(held: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         t = pa.Table.from_batches(held)
         found: dict[bytes, tuple] = {}
-        own, copies, chunk = t.column("class").to_pylist(), t.column("copies").to_numpy(), t.column("chunk").to_numpy()
+        own, copies, chunk, cid = t.column("class").to_pylist(), t.column("copies").to_numpy(), t.column("chunk").to_numpy(), t.column("cid").to_numpy()
         at = 0
         for s in slices(pa.table({"at": np.arange(len(t)), "text": t.column("text")}).to_batches()):
             for u in shingles.sets(s):
                 if own[at] not in found and shingles.digest(u) == own[at]:  # ids may repeat with other texts
-                    found[own[at]] = (u, copies[at], chunk[at])
+                    found[own[at]] = (u, copies[at], chunk[at], cid[at])
                 at += 1
         if len(found) < 2:
             return None
-        sets, copies, chunk = zip(*found.values(), strict=True)
+        sets, copies, chunk, cid = zip(*found.values(), strict=True)
         degree = _degrees(list(found), list(sets), np.array(copies), np.array(chunk), held[0].column(1)[0] != held[0].column(2)[0])
-        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(degree)], names=["class", "links"])
+        return pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(degree)], names=["cid", "links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -561,12 +597,12 @@ def _links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> D
 
     sizes = classes.groupBy("part").agg(F.count("*").alias("c"), F.sum("n").alias("tokens")).where("c > 1")
     chunks = F.greatest(F.ceil(F.col("c") / CHUNK), F.ceil(F.col("tokens") / CELL_TOKENS)).cast("int")
-    rows = classes.join(sizes.select("part", chunks.alias("chunks")), "part").select("part", "rep", "class", "copies", "chunks", F.pmod(F.xxhash64("class"), "chunks").cast("int").alias("chunk"))
+    rows = classes.join(sizes.select("part", chunks.alias("chunks")), "part").select("part", "rep", "cid", "class", "copies", "chunks", F.pmod(F.xxhash64("class"), "chunks").cast("int").alias("chunk"))
     rows = rows.join(docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")), "rep")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     rows = rows.withColumns({"ci": F.least("chunk", "other"), "cj": F.greatest("chunk", "other")}).select(*names)
     rows = rows.repartition("part", "ci", "cj").sortWithinPartitions("part", "ci", "cj")
-    return rows.mapInArrow(run, "class binary, links long").groupBy("class").agg(F.sum("links").alias("links"))
+    return rows.mapInArrow(run, "cid long, links long").groupBy("cid").agg(F.sum("links").alias("links"))
 
 
 def _repeats(rows: DataFrame) -> bool:
@@ -579,20 +615,20 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count:
 
     Without count, n_links is left out, for those who need components only.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
     rows = durable(describe(docs, id_col, text_col))
     classes = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("rep"), F.min("band").alias("band"), F.max("n_shingles").alias("n"), F.max("histogram").alias("histogram"), F.count("*").alias("copies"))
-    classes = durable(classes)
+    # classes are known by numbers that the checkpoint fixes, as ids may repeat with different texts
+    classes = durable(classes.withColumn("cid", F.monotonically_increasing_id()))
     stats = classes.groupBy("band").agg(F.count("*").alias("c"), F.sum("n").alias("n")).collect()  # one row per size band
     others = {r["band"]: r["c"] for r in stats}
     # signatures are about half as many as tokens; a bucket holds about a million
-    bits = min(16, max(6, int(np.ceil(np.log2(max(1, sum(r["n"] for r in stats) / 2_000_000))))))
+    bits = max(6, int(np.ceil(np.log2(max(1, sum(r["n"] for r in stats) / 2_000_000)))))
     packed = _packed(docs, id_col, text_col, others, bits)
     pairs = packed.groupBy("bucket").applyInArrow(_bucket_pairs, "a binary, b binary, hub boolean, rare boolean, f0 int, f1 int, f2 int")
     pairs = pairs.groupBy("a", "b").agg(F.max("hub").alias("hub"), F.max("rare").alias("rare"), F.count("*").alias("k"), *(F.sum(f).alias(f) for f in ("f0", "f1", "f2")))
     for x in ("a", "b"):
-        pairs = pairs.join(classes.select(F.col("class").alias(x), F.col("rep").alias(f"r{x}")), x)
-    pairs = durable(pairs.select(F.col("ra").alias("a"), F.col("rb").alias("b"), "hub", "rare", "k", "f0", "f1", "f2"))
+        pairs = pairs.join(classes.select(F.col("class").alias(x), F.col("cid").alias(f"c{x}")), x)
+    pairs = durable(pairs.select(F.col("ca").alias("a"), F.col("cb").alias("b"), "hub", "rare", "k", "f0", "f1", "f2"))
     hubs, pairs = pairs.where("hub"), pairs.where("a <> b").select("a", "b", "k", "rare")
     del packed
     release(docs)
@@ -601,36 +637,38 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count:
     def linked(some: DataFrame) -> DataFrame:
         """Those of some pairs that link, from the sets of the texts that they name."""
         some = durable(some)
-        nodes = some.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-        texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("_t")).join(nodes, "rep")
-        sets = durable(_sets_of(texts if unique else texts.groupBy("rep").agg(F.first("_t").alias("_t"))))
+        nodes = some.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "class", "rep"), "cid")
+        texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(nodes, "rep")
+        sets = _sets_of(texts)
+        sets = durable(sets if unique else sets.groupBy("cid").agg(F.first("set").alias("set")))
         release(docs)
         return _linked(some, sets)
 
-    def apart(df: DataFrame, parts: DataFrame) -> DataFrame:
-        """Those of the pairs whose ends are in different components."""
-        for x in ("a", "b"):
-            df = df.join(parts.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")), x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
-        return df
+    def every(parts: DataFrame) -> DataFrame:
+        """(node, component) of all classes."""
+        return classes.select("cid").join(parts, F.col("cid") == F.col("node"), "left").select(F.col("cid").alias("node"), F.coalesce("component", "cid").alias("component"))
 
     # first each set's likeliest partner: copies come together, and their other pairs need no look
-    first = pairs.groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a"))
-    parts = graph.components(linked(_plausible(first, classes, kind)), "a", "b")
+    best = Window.partitionBy("b").orderBy(F.desc("k"), F.desc("a"))
+    ranked = pairs.withColumn("top", F.row_number().over(best) == 1)
+    first = ranked.where("top").select("a", "b")
+    parts = every(graph.components(linked(_plausible(first, classes)), "a", "b"))
     # pairs that only frequent signatures have brought together are left to their hubs
-    rest = apart(pairs.where("rare").join(first, ["a", "b"], "left_anti").select("a", "b"), parts).where("ca <> cb").select("a", "b")
-    often = hubs.groupBy(F.col("b").alias("rep")).agg(*(F.sum(f).alias(f) for f in ("f0", "f1", "f2")))
-    often = often.join(classes.select("rep", "n"), "rep")
-    members = hubs.select(F.col("a").alias("hub"), F.col("b").alias("x")).join(_bounds(often, kind).withColumnRenamed("rep", "x"), "x")
-    members = members.join(parts.select(F.col("node").alias("x"), F.col("component").alias("part")), "x", "left").withColumn("part", F.coalesce("part", "x"))
-    tested = pairs.where("rare").select("a", "b").unionAll(first.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _within_hubs(members.select("hub", "x", "part", "bits", "n"), classes, kind).join(tested, ["a", "b"], "left_anti")
-    parts = _merged(parts, linked(_plausible(rest, classes, kind).unionAll(more)))
-    named = classes.join(parts, F.col("rep") == F.col("node"), "left").select("class", "rep", "n", "copies", F.coalesce("component", "rep").alias("part"))
+    rest = _across(ranked.where("rare AND NOT top").select("a", "b"), parts)
+    often = hubs.groupBy(F.col("b").alias("x")).agg(*(F.sum(f).alias(f) for f in ("f0", "f1", "f2")))
+    often = often.join(classes.select(F.col("cid").alias("x"), "n"), "x")
+    members = hubs.select(F.col("a").alias("hub"), F.col("b").alias("x")).join(_bounds(often), "x")
+    members = members.join(parts.select(F.col("node").alias("x"), F.col("component").alias("part")), "x")
+    more = _within_hubs(members.select("hub", "x", "part", "bits", "n"), classes)
+    parts = every(_merged(parts, linked(_plausible(rest, classes).unionAll(more).distinct())))
+    # components are named by their smallest id
+    own = classes.join(parts, F.col("cid") == F.col("node")).select("cid", "class", "rep", "n", "copies", F.col("component").alias("part"))
+    named = own.join(own.groupBy("part").agg(F.min("rep").alias("least")), "part")
     links = F.lit(0)
     if count:
         release(docs)
-        named = named.join(durable(_links(docs, named, id_col, text_col)), "class", "left")
+        named = named.join(durable(_links(docs, own, id_col, text_col)), "cid", "left")
         links = F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0))
-    out = rows.join(named.drop("rep", "n"), "class", "left").withColumn("n_links", links)
-    out = out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("part", "id").alias("component_id"), "n_links")
+    out = rows.join(named.drop("rep", "n", "part", "cid"), "class", "left").withColumn("n_links", links)
+    out = out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("least", "id").alias("component_id"), "n_links")
     return out if count else out.drop("n_links")
