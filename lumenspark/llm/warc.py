@@ -6,11 +6,12 @@ both have one, else Last-Modified where both have one). The resolved record take
 payload fields; its headers are the response's, with those that a 304 reply may update
 (UPDATABLE) taken from the revisit.
 
-The as-of join is exact and has no group that one URL can fill: time is cut into SPANS spans, each
+The as-of join is exact: time is cut into SPANS spans of about as many records each, each
 (URL, span) keeps its latest response, these few summaries are carried forward per URL, and only
-within a span are records ordered among themselves.
+within a span are records ordered among themselves. So a task has about 1 / SPANS of a URL's records,
+unless more of them than that bear the very same time. Header names are compared without regard to case.
 
-Edge cases: a null URL matches nothing; a null time sorts first; at equal times a revisit precedes a
+Edge cases: a null URL matches nothing, and such records meet in no window; a null time sorts first; at equal times a revisit precedes a
 response, and of responses the greatest record_id is the latest; repeated rows each give a row; an
 empty table gives an empty table; only the named columns are read.
 """
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 #: Header fields that a 304 reply sends to update a stored response (RFC 9110, 15.4.5, and RFC 9111, 3.2).
 UPDATABLE = ("cache-control", "content-location", "date", "etag", "expires", "vary")
-SPANS = 64
+SPANS = 256
 
 
 def canonical_url(url):
@@ -44,29 +45,34 @@ def resolve(records: DataFrame, spans: int = SPANS) -> DataFrame:
     headers, payload_digest, payload_length; the last four are null unless resolved.
     """
     r = records.select("record_id", "kind", "at", "etag", "last_modified", "headers", "payload_digest", "payload_length", canonical_url(F.col("url")).alias("url_key"))
-    ends = r.agg(F.min("at").alias("_lo"), F.max("at").alias("_hi"))
-    width = F.greatest(F.lit(1), F.expr(f"(_hi - _lo) div {spans} + 1"))
-    r = r.crossJoin(F.broadcast(ends)).withColumn("span", F.floor((F.col("at") - F.col("_lo")) / width)).drop("_lo", "_hi")  # one row of two numbers
+    # approximate quantiles: any cuts give the same result
+    known = r.where(F.col("at").isNotNull()).select(F.col("at").cast("double").alias("at"))
+    cuts = sorted(set(known.approxQuantile("at", [i / spans for i in range(1, spans)], 0.5 / spans))) if spans > 1 else []
+    r = r.withColumn("span", F.when(F.col("at").isNull(), -1).otherwise(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("at").cast("double"))) if cuts else F.lit(0)))
+    placed = r.where(F.col("url_key").isNotNull())
     is_response = F.col("kind") == "response"
     answer = F.struct("at", "record_id", "etag", "last_modified", "headers", "payload_digest", "payload_length")
     # max_by orders by (at, record_id) alone, as maps have no order
     latest = (
-        r.where(F.col("url_key").isNotNull())
+        placed
         .groupBy("url_key", "span")
         .agg(F.max_by(F.when(is_response, answer), F.when(is_response, F.struct("at", "record_id"))).alias("last"))
     )
     before = Window.partitionBy("url_key").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     carried = latest.select("url_key", "span", F.last("last", ignorenulls=True).over(before).alias("carried"))
     within = Window.partitionBy("url_key", "span").orderBy("at", F.when(is_response, 1).otherwise(0), "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    own = r.withColumn("own", F.last(F.when(is_response, answer), ignorenulls=True).over(within)).where(F.col("kind") == "revisit")
+    own = placed.withColumn("own", F.last(F.when(is_response, answer), ignorenulls=True).over(within)).where(F.col("kind") == "revisit")
     joined = own.join(carried, ["url_key", "span"], "left").withColumn("a", F.coalesce("own", "carried"))
+    nowhere = r.where(F.col("url_key").isNull() & (F.col("kind") == "revisit"))
+    joined = joined.unionByName(nowhere, allowMissingColumns=True)
     both = lambda c: F.col(c).isNotNull() & F.col(f"a.{c}").isNotNull()
     agrees = F.when(both("etag"), F.col("etag") == F.col("a.etag")).when(both("last_modified"), F.col("last_modified") == F.col("a.last_modified")).otherwise(F.lit(False))
     status = F.when(F.col("a").isNull() | F.col("url_key").isNull(), "no_response").when(agrees, "resolved").otherwise("validator_mismatch")
     ok = F.col("status") == "resolved"
     empty = F.create_map().cast("map<string,string>")
     allowed = F.map_filter(F.coalesce("headers", empty), lambda k, _: F.lower(k).isin(*UPDATABLE))
-    kept = F.map_filter(F.coalesce(F.col("a.headers"), empty), lambda k, _: ~F.array_contains(F.map_keys(allowed), k))
+    replaced = F.transform(F.map_keys(allowed), F.lower)
+    kept = F.map_filter(F.coalesce(F.col("a.headers"), empty), lambda k, _: ~F.array_contains(replaced, F.lower(k)))
     return joined.withColumn("status", status).select(
         "record_id",
         "url_key",
@@ -124,16 +130,16 @@ WITH b AS ({_KEY}), h AS (
     CASE WHEN regexp_extract(rest, '^[^?]*\?(.*)$', 1) <> ''
          THEN '?' || array_to_string(list_sort(string_split(regexp_extract(rest, '^[^?]*\?(.*)$', 1), '&')), '&') ELSE '' END AS url_key
   FROM p
-), v AS (SELECT page_id * 2 + 1 AS record_id, url_key, digest AS etag, page_id + 500 AS at FROM q),
+), v AS (SELECT page_id * 2 + 1 AS record_id, url_key, digest AS etag, page_id + 500 AS seen FROM q),
 m AS (
-  SELECT v.record_id, v.url_key, v.etag, v.at, r.page_id AS r_page, r.digest AS r_digest, r.n AS r_n,
+  SELECT v.record_id, v.url_key, v.etag, v.seen, r.page_id AS r_page, r.digest AS r_digest, r.n AS r_n,
     row_number() OVER (PARTITION BY v.record_id ORDER BY r.page_id DESC NULLS LAST) AS rn
-  FROM v LEFT JOIN q r ON r.url_key = v.url_key AND r.page_id < v.at
+  FROM v LEFT JOIN q r ON r.url_key = v.url_key AND r.page_id < v.seen
 )
 SELECT record_id, url_key,
   CASE WHEN r_page IS NULL THEN 'no_response' WHEN etag = r_digest THEN 'resolved' ELSE 'validator_mismatch' END AS status,
   CASE WHEN etag = r_digest THEN r_page * 2 END AS resolved_id,
-  CASE WHEN etag = r_digest THEN 'content-type=text/html' || chr(10) || 'date=' || at || chr(10) || 'etag=' || etag END AS headers,
+  CASE WHEN etag = r_digest THEN 'content-type=text/html' || chr(10) || 'date=' || seen || chr(10) || 'etag=' || etag END AS headers,
   CASE WHEN etag = r_digest THEN r_digest END AS payload_digest,
   CASE WHEN etag = r_digest THEN r_n END AS payload_length
 FROM m WHERE rn = 1
