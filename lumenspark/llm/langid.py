@@ -1,6 +1,7 @@
 """Language identification by mixture inference.
 
-Per language, a table of smoothed log likelihoods of hashed byte trigrams is learnt. A text is cut
+Per language, a table of smoothed log likelihoods of hashed byte trigrams is learnt, from whole texts of
+a bounded sample of rows (TRAIN_ROWS) that are counted where they lie. A text is cut
 into windows of WINDOW bytes; each window's log likelihood under every language is the sum over its
 trigrams. Expectation maximisation then estimates the text's language proportions from the windows.
 The language set is chosen among the leading 1, 2, ... up to all languages by likelihood less a penalty
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import Slice, row_sums, slices
-from .toxicity import sample
+from .toxicity import sampled
 
 #: Training rows at most, about, in equal shares of the languages.
 TRAIN_ROWS = 8_000
@@ -38,12 +39,16 @@ _LOWER[65:91] += 32
 _LOWER[[9, 10, 13]] = 32
 
 
-def trigrams(data: np.ndarray) -> np.ndarray:
-    """Hashed trigram that ends at each byte; blanks stand before the first."""
+def trigrams(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Hashed trigram that ends at each byte; blanks stand before the first byte of each text that bounds delimit."""
     b = _LOWER[data].astype(np.uint32)
-    out = b * np.uint32(0x9E3779B1)
-    out[1:] += b[:-1] * np.uint32(0x85EBCA6B)
-    out[2:] += b[:-2] * np.uint32(0xC2B2AE35)
+    blank = np.uint32(32)
+    last, before = np.full(len(b), blank), np.full(len(b), blank)
+    last[1:], before[2:] = b[:-1], b[:-2]
+    first = bounds[:-1][np.diff(bounds) > 0]
+    last[first] = before[first] = blank
+    before[bounds[:-1][np.diff(bounds) > 1] + 1] = blank
+    out = b * np.uint32(0x9E3779B1) + last * np.uint32(0x85EBCA6B) + before * np.uint32(0xC2B2AE35)
     out ^= out >> np.uint32(15)
     out *= np.uint32(0x2C1B3C6D)
     return out >> np.uint32(32 - BITS)
@@ -55,23 +60,51 @@ class Model:
     log: np.ndarray  # [language, trigram], float32
 
 
-def train(texts: list[str], languages: list[str]) -> Model:
-    names = sorted(set(languages))
+def _model(counts: dict[str, np.ndarray]) -> Model:
+    names = sorted(counts)
     if not names:
         raise ValueError("training needs rows with a language")
-    counts = np.zeros((len(names), 1 << BITS))
-    for name in range(len(names)):
-        own = [t for t, x in zip(texts, languages, strict=True) if x == names[name]]
-        for t in own:
-            counts[name] += np.bincount(trigrams(np.frombuffer(t.encode("utf-8", "replace"), np.uint8)), minlength=1 << BITS)
-    p = (counts + 0.5) / (counts + 0.5).sum(1, keepdims=True)
-    return Model(names, np.log(p).astype(np.float32))
+    smooth = np.array([counts[n] for n in names], float) + 0.5
+    return Model(names, np.log(smooth / smooth.sum(1, keepdims=True)).astype(np.float32))
+
+
+def _counted(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    return np.bincount(trigrams(data, bounds), minlength=1 << BITS)
+
+
+def train(texts: list[str], languages: list[str]) -> Model:
+    counts: dict[str, np.ndarray] = {}
+    for text, name in zip(texts, languages, strict=True):
+        raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+        counts[name] = counts.get(name, np.zeros(1 << BITS, np.int64)) + _counted(raw, np.array([0, len(raw)]))
+    return _model(counts)
 
 
 def fit(docs: DataFrame, keep, rows: int = TRAIN_ROWS, id_col="doc_id", text_col="text", lang_col="lang") -> Model:
-    """Train on a bounded sample of the rows that keep (a condition) lets through and that have a language."""
-    found = sample(docs, docs, lang_col, keep, rows, id_col, text_col)
-    return train([t for t, _ in found], [y for _, y in found])
+    """Train on a bounded sample of the rows that keep (a condition) lets through and that have a language.
+
+    Each task adds up the trigrams of its texts; what comes to the driver is one table a language.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[str, np.ndarray] = {}
+        for batch in batches:
+            names = batch.column(1).to_pylist()
+            for s in slices([pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(0)], names=["i", "t"])]):
+                for k, i in enumerate(s.ids.to_pylist()):
+                    piece = s.data[s.bounds[k] : s.bounds[k + 1]]
+                    own[names[i]] = own.get(names[i], np.zeros(1 << BITS, np.int64)) + _counted(piece, np.array([0, len(piece)]))
+        if own:
+            yield pa.RecordBatch.from_arrays([pa.array(list(own)), pa.array([c.tobytes() for c in own.values()], pa.binary())], names=["lang", "counts"])
+
+    def add(tables: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(c, np.int64) for c in tables.column("counts").to_pylist())
+        return pa.table({"lang": tables.column("lang").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    found = sampled(docs, docs, lang_col, keep, rows, id_col, text_col).select("_t", F.col("_y").cast("string"))
+    parts = found.mapInArrow(count, "lang string, counts binary")
+    added = parts.groupBy("lang").applyInArrow(add, "lang string, counts binary")
+    return _model({r["lang"]: np.frombuffer(r["counts"], np.int64) for r in added.collect()})
 
 
 def _mixture(like: np.ndarray, shift: np.ndarray, bounds: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +125,7 @@ def _mixture(like: np.ndarray, shift: np.ndarray, bounds: np.ndarray, mask: np.n
 def infer(model: Model, s: Slice) -> np.ndarray:
     """Proportions [text, language] of the chosen set; 0 outside it."""
     k = len(model.languages)
-    codes = trigrams(s.data)
+    codes = trigrams(s.data, s.bounds)
     n = len(s)
     per = np.maximum(-(-np.diff(s.bounds) // WINDOW), 0)
     bounds = np.concatenate([[0], np.cumsum(per)])

@@ -3,7 +3,8 @@
 Each class has a mean and a covariance shrunk towards its own diagonal and the pooled one; the
 score comes from the difference of the two log densities, each a Mahalanobis distance through a
 cached Cholesky factor, and a logistic calibration of that difference fitted on the same rows.
-Training takes a bounded sample of labelled rows (TRAIN_ROWS).
+Training takes a bounded sample of labelled rows (TRAIN_ROWS); the statistics of their whole texts
+are made where the texts lie, and only these come to the driver.
 
 Edge cases: null and empty texts have all-zero statistics and are scored like any other; repeated
 rows each give a row; an empty table gives an empty table; null labels are not learnt from; without
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .arrow import slices
-from .toxicity import _logistic, sample
+from .toxicity import _logistic, sampled
 
 TRAIN_ROWS = 12_000
 #: Weights of the class's own diagonal and of the pooled covariance.
@@ -87,7 +88,11 @@ class Model:
 
 
 def train(texts: list[str], labels: list[int]) -> Model:
-    x = np.array([statistics(t.encode("utf-8", "replace"), t) for t in texts])
+    return solve(np.array([statistics(t.encode("utf-8", "replace"), t) for t in texts]), labels)
+
+
+def solve(x: np.ndarray, labels: list[int]) -> Model:
+    """The model of rows of statistics and their labels."""
     y = np.array(labels, float)
     if not (0 < y.sum() < len(y)):
         raise ValueError("training needs labelled rows of both classes")
@@ -109,8 +114,16 @@ def train(texts: list[str], labels: list[int]) -> Model:
 
 def fit(docs: DataFrame, labels: DataFrame, keep, label="quality", rows: int = TRAIN_ROWS, id_col="doc_id", text_col="text") -> Model:
     """Train on the labelled rows that keep (a condition on labels) lets through."""
-    found = sample(docs, labels, label, keep, rows, id_col, text_col)
-    return train([t for t, _ in found], [y for _, y in found])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [statistics(t.encode(), t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), pa.array(x, pa.list_(pa.float64()))], names=["id", "y", "x"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    some = sampled(docs, labels, label, keep, rows, id_col, text_col).select("_id", "_t", "_y")
+    found = sorted(some.mapInArrow(measure, f"id {kind}, y int, x array<double>").collect(), key=lambda r: r["id"])
+    return solve(np.array([r["x"] for r in found]), [r["y"] for r in found])
 
 
 def score_table(df: DataFrame, model: Model, id_col="doc_id", text_col="text") -> DataFrame:

@@ -1,6 +1,6 @@
 """Toxicity by compression distance: one zstandard dictionary per class, compared window by window.
 
-Training takes a bounded sample of labelled rows (TRAIN_ROWS). A window is one word (a run of
+Training takes a bounded sample of labelled rows (TRAIN_ROWS) and reads their whole texts. A window is one word (a run of
 letters), written ECHO times so that even a short one has a compressed form. The ordinary
 dictionary holds the most frequent words of ordinary rows; the toxic dictionary the same and, before
 them, the words whose share of toxic rows far exceeds their share of ordinary rows. The bytes that
@@ -31,8 +31,6 @@ from .arrow import row_sums, slices
 
 #: Labelled rows that training reads at most, about; the classes have equal limits.
 TRAIN_ROWS = 8_000
-#: Characters of a training row that are read at most; scoring reads whole texts.
-TRAIN_CHARS = 50_000
 ECHO = 3
 #: Words of the ordinary dictionary at most; what a worker remembers of words is bounded as well.
 ORDINARY_WORDS, REMEMBERED = 300, 200_000
@@ -98,17 +96,31 @@ class Reader:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def train(toxic: list[str], ordinary: list[str]) -> Model:
-    """Dictionaries, threshold and curve from texts of the two classes."""
+def window_counts(text: bytes) -> dict[bytes, int]:
+    """How often each window stands in a text."""
+    found: dict[bytes, int] = {}
+    for w in _WORD.findall(text):
+        found[w] = found.get(w, 0) + 1
+    return found
+
+
+def train(toxic: list, ordinary: list) -> Model:
+    """Dictionaries, threshold and curve from texts of the two classes, or from their windows and how often they stand there."""
     if not toxic or not ordinary:
         raise ValueError("training needs labelled rows of both classes")
     number: dict[bytes, int] = {}
-    rows = [np.array([number.setdefault(w, len(number)) for w in _WORD.findall(t.encode("utf-8", "replace").lower())], np.int64) for t in [*toxic, *ordinary]]
+    rows, counts = [], []
+    for t in [*toxic, *ordinary]:
+        own = window_counts(t.encode("utf-8", "replace").lower()) if isinstance(t, str) else t
+        rows.append(np.array([number.setdefault(w, len(number)) for w in own], np.int64))
+        counts.append(np.array(list(own.values()), np.int64))
     words = list(number)
     y = np.array([1.0] * len(toxic) + [0.0] * len(ordinary))
     fold = np.concatenate([np.arange(len(toxic)), np.arange(len(ordinary))]) % FOLDS
-    flat, edges = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-    made = lambda keep, size: _dictionaries([rows[i] for i in np.flatnonzero(keep & (y == 1))], [rows[i] for i in np.flatnonzero(keep & (y == 0))], words, size)
+    flat, times, edges = np.concatenate(rows), np.concatenate(counts), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    windows = row_sums(times, edges)
+    some = lambda keep: [(rows[i], counts[i]) for i in np.flatnonzero(keep)]
+    made = lambda keep, size: _dictionaries(some(keep & (y == 1)), some(keep & (y == 0)), words, size)
     best, chosen = -np.inf, None
     for size in MARKED:
         gain = np.zeros(len(flat), np.int64)
@@ -116,8 +128,8 @@ def train(toxic: list[str], ordinary: list[str]) -> Model:
             own = np.repeat(fold == f, np.diff(edges))
             gain[own] = _gains(*made(fold != f, size), words)[flat[own]]
         for threshold in THRESHOLDS:
-            over = row_sums(np.maximum(gain - threshold, 0).astype(np.float64), edges)
-            x, p = _columns(over, np.diff(edges)), np.zeros(len(y))
+            over = row_sums(np.maximum(gain - threshold, 0).astype(np.float64) * times, edges)
+            x, p = _columns(over, windows), np.zeros(len(y))
             for f in range(FOLDS):
                 z = x[fold == f] @ np.array(_logistic(x[fold != f], y[fold != f]))
                 p[fold == f] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -128,14 +140,14 @@ def train(toxic: list[str], ordinary: list[str]) -> Model:
     return Model(*made(fold >= 0, size), threshold, weights)
 
 
-def _dictionaries(bad: list[np.ndarray], good: list[np.ndarray], words: list[bytes], size: int) -> tuple[bytes, bytes]:
-    """Toxic and ordinary dictionary from the windows (numbers of words) of each class's texts; size: words that mark toxic texts, at most."""
-    texts = lambda rows: np.bincount(np.concatenate([np.zeros(0, np.int64), *map(np.unique, rows)]), minlength=len(words))
+def _dictionaries(bad: list[tuple], good: list[tuple], words: list[bytes], size: int) -> tuple[bytes, bytes]:
+    """Toxic and ordinary dictionary from the windows (numbers of words, and how often) of each class's texts; size: words that mark toxic texts, at most."""
+    texts = lambda rows: np.bincount(np.concatenate([np.zeros(0, np.int64), *(r for r, _ in rows)]), minlength=len(words))
     in_bad, in_good = texts(bad), texts(good)
     odds = in_bad / max(1, len(bad)) / ((in_good + 0.5) / max(1, len(good)))
     able = (np.array([len(w) for w in words]) > 2) & (in_bad >= max(2, 0.006 * len(bad))) & (odds > 1)
     marked = sorted(np.flatnonzero(able).tolist(), key=lambda i: (odds[i], words[i]))[-size:]
-    often = np.bincount(np.concatenate([np.zeros(0, np.int64), *good]), minlength=len(words))
+    often = np.bincount(np.concatenate([np.zeros(0, np.int64), *(r for r, _ in good)]), np.concatenate([np.zeros(0), *(c for _, c in good)]), len(words))
     often[marked] = 0
     plain = [i for i in np.argsort(-often, kind="stable")[:ORDINARY_WORDS].tolist() if often[i]]
     shared = b"".join(written(words[i]) for i in plain[::-1]) or b" " * 16
@@ -166,28 +178,40 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> list[float]:
     return w.tolist()
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, keep, rows: int, id_col="doc_id", text_col="text") -> list[tuple[str, int]]:
-    """About rows labelled texts at most, chosen by a hash of the id, as (text, label); null labels are left out.
+def sampled(docs: DataFrame, labels: DataFrame, label: str, keep, rows: int, id_col="doc_id", text_col="text") -> DataFrame:
+    """(_id, _t, _y): whole texts of about rows labelled ids at most, chosen by a hash of the id; null labels are left out.
 
-    The ids that are chosen are few by construction, so they are broadcast and no text is shuffled.
+    The ids that are chosen are few by construction, so they are broadcast. Of an id that repeats the
+    greatest text is taken, its copies falling together before anything is shuffled.
     """
     marked = labels.where(F.col(label).isNotNull()).where(keep).select(F.col(id_col).alias("_id"), F.col(label).alias("_y"))
-    marked = marked.groupBy("_id").agg(F.max("_y").alias("_y"))
+    marked = marked.where(F.col("_id").isNotNull()).groupBy("_id").agg(F.max("_y").alias("_y"))
     counts = {r["_y"]: r["n"] for r in marked.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     each = rows / max(1, len(counts))
     share = F.lit(0.0)
     for y, n in counts.items():
         share = F.when(F.col("_y") == y, F.lit(min(1.0, each / n))).otherwise(share)
     chosen = marked.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < share * (1 << 30))
-    texts = docs.select(F.col(id_col).alias("_id"), F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, TRAIN_CHARS).alias("_t"))
-    found = texts.join(F.broadcast(chosen), "_id").select("_id", "_t", "_y").collect()
-    return [(r["_t"], r["_y"]) for r in sorted(found, key=lambda r: (r["_id"], r["_t"]))]
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    found = texts.join(F.broadcast(chosen), "_id")  # at most about `rows` ids
+    return found.groupBy("_id").agg(F.max("_t").alias("_t"), F.max("_y").alias("_y"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep, label="toxic", rows: int = TRAIN_ROWS, id_col="doc_id", text_col="text") -> Model:
-    """Train on the labelled rows that keep (a condition on labels) lets through."""
-    found = sample(docs, labels, label, keep, rows, id_col, text_col)
-    return train([t for t, y in found if y == 1], [t for t, y in found if y == 0])
+    """Train on the labelled rows that keep (a condition on labels) lets through; texts are cut into windows where they lie, and windows are counted."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [window_counts(t.encode().lower()) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2).cast(pa.int32()), pa.array([list(x) for x in found], pa.list_(pa.binary())), pa.array([list(x.values()) for x in found], pa.list_(pa.int64()))], names=["id", "y", "windows", "times"]
+            )
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    some = sampled(docs, labels, label, keep, rows, id_col, text_col).select("_id", "_t", "_y")
+    found = some.mapInArrow(count, f"id {kind}, y int, windows array<binary>, times array<bigint>").collect()
+    found = [(r["y"], {bytes(w): n for w, n in zip(r["windows"], r["times"], strict=True)}) for r in sorted(found, key=lambda r: r["id"])]
+    return train([x for y, x in found if y == 1], [x for y, x in found if y == 0])
 
 
 def score_table(df: DataFrame, model: Model, id_col="doc_id", text_col="text") -> DataFrame:
