@@ -22,6 +22,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 BEGIN, SEP, END = "<s>[INST]", "[SEP]", "[/INST]</s>"
 #: Strings that may steer a model; none of them can appear inside an escaped text.
@@ -76,124 +77,129 @@ def _sorted(df: DataFrame, id_col: str, turn_col: str, role_col: str, text_col:
     return rows.repartition("_c").sortWithinPartitions("_c", "_t", "_r", "_x").select("_c", "_r", "_x")
 
 
+def examples(turns: Iterable[tuple[str | None, str | None] | None], trainable: str = "assistant") -> Iterator[tuple[str, int, int] | None]:
+    """(text, loss_start, loss_end) of every example of conversations whose turns (role, text) come in order; null ends one, in and out.
+
+    A text grows in place from one example to the next, as long as nobody keeps the one before.
+    """
+    text, open_ = "", False
+    for turn in turns:
+        if turn is None:
+            if open_:
+                yield text, -1, -1
+            yield None
+            text, open_ = "", False
+            continue
+        made, a, b = format_turn(*turn)
+        start = len(text)
+        text += made
+        open_ = turn[0] != trainable
+        if not open_:
+            yield text, start + a, start + b
+
+
+def _examples(batches: Iterator[pa.RecordBatch], trainable: str) -> Iterator[tuple[object, tuple[str, int, int] | None]]:
+    """(conversation, its next example) in order; (conversation, null) closes it."""
+    now: list = []
+
+    def turns():
+        for conv, rows in _conversations(batches):
+            now[:] = [conv]
+            yield from [None] if rows is None else rows
+
+    for example in examples(turns(), trainable):
+        yield now[0], example
+        example = None  # so that the text can grow in place
+
+
 def expand(df: DataFrame, id_col="conv_id", turn_col="turn", role_col="role", text_col="text", trainable="assistant") -> DataFrame:
     """One row per example: id, example (from 0), text, loss_start, loss_end (code points; -1 if nothing is trainable).
 
     Memory per task: one conversation's formatted text, as its last example has to hold all of it.
     """
+    kind = df.schema[id_col].dataType
 
     def run(batches):
-        out, size = [], 0
+        out, size, k = [], 0, 0
 
         def flush():
-            ids, ks, texts, starts, ends = map(list, zip(*out, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(ks, pa.int64()), pa.array(texts), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["id", "example", "text", "loss_start", "loss_end"])
-
-        parts, open_, k, length = [], False, 0, 0
-        kind = None
-        batches = iter(batches)
-        first = next(batches, None)
-        if first is None:
-            return
-        kind = first.schema.types[0]
-
-        def chained():
-            yield first
-            yield from batches
-
-        for conv, rows in _conversations(chained()):
-            if rows is None:
-                if open_:
-                    out.append((conv, k, "".join(parts), -1, -1))
-                parts, open_, k, length = [], False, 0, 0
-            for role, text in rows or ():
-                turn, a, b = format_turn(role, text)
-                parts.append(turn)
-                open_ = role != trainable
-                if not open_:
-                    parts = ["".join(parts)]
-                    out.append((conv, k, parts[0], length + a, length + b))
-                    size += len(parts[0])
-                    k += 1
-                length += len(turn)
-                if size > 1 << 22:
-                    yield flush()
-                    out, size = [], 0
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(map(list, zip(*out, strict=True)), kinds, strict=True)], names=["id", "example", "text", "loss_start", "loss_end"])
+
+        for conv, example in _examples(batches, trainable):
+            if example is None:
+                k = 0
+                continue
+            out.append((conv, k, *example))
+            size += len(example[0])
+            k += 1
+            if size > 1 << 22:
+                yield flush()
+                out, size = [], 0
         if out:
             yield flush()
 
-    kind = df.schema[id_col].dataType.simpleString()
-    out = _sorted(df, id_col, turn_col, role_col, text_col).mapInArrow(run, f"id {kind}, example long, text string, loss_start long, loss_end long")
+    kinds = [to_arrow_type(kind), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+    out = _sorted(df, id_col, turn_col, role_col, text_col).mapInArrow(run, f"id {kind.simpleString()}, example long, text string, loss_start long, loss_end long")
     return out.withColumnRenamed("id", id_col)
 
 
 class _Reader:
-    """Reads one conversation's examples back as they are written; each shares all earlier turns with the one before."""
+    """Reads the examples of one conversation back.
+
+    Every example repeats the one before it, which is compared by length and end, and parsed for what
+    it adds; its mask is cut from the example's own text.
+    """
 
-    def __init__(self, conv):
-        self.conv, self.n, self.loss, self.total, self.length = conv, 0, 0, 0, 0
+    def __init__(self):
+        self.n, self.loss, self.total, self.seen, self.end = 0, 0, 0, 0, ""
         self.turns, self.hash = hashlib.sha256(), hashlib.sha256()
 
-    def read(self, suffix: str, start: int, end: int) -> None:
-        """The part of an example beyond the example before it; start and end of its mask within that part."""
-        for role, text in parse(suffix):
+    def read(self, text: str, start: int, end: int) -> None:
+        if text[max(0, self.seen - len(self.end)) : self.seen] != self.end:
+            raise ValueError("an example does not begin with the one before it")
+        for role, said in parse(text[self.seen :]):
             self.n += 1
-            self.turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-        self.length += len(suffix)
-        self.total += self.length  # an example repeats every turn before its own
+            self.turns.update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
+        self.total += len(text)
+        self.seen, self.end = len(text), text[-len(END) :]
         if start >= 0:
-            text = unescape(suffix[start:end])
-            self.loss += len(text)
-            self.hash.update(text.encode("utf-8", "surrogatepass"))
+            trained = unescape(text[start:end])
+            self.loss += len(trained)
+            self.hash.update(trained.encode("utf-8", "surrogatepass"))
 
     def row(self):
-        return self.conv, self.n, self.turns.hexdigest(), self.loss, self.hash.hexdigest(), self.total
+        return self.n, self.turns.hexdigest(), self.loss, self.hash.hexdigest(), self.total
 
 
 def digest(df: DataFrame, id_col="conv_id", turn_col="turn", role_col="role", text_col="text", trainable="assistant") -> DataFrame:
     """Per conversation, read back from its examples: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
-    formatted_chars counts all characters of all examples. Turns stream through one at a time in
-    sorted order, so a conversation of any length needs the memory of the turns since its last reply.
+    The examples are those of `expand`, made one after the other in the task that reads them and not
+    kept; formatted_chars counts all characters of all of them. Memory: one conversation's formatted text.
     """
+    kind = df.schema[id_col].dataType
 
     def run(batches):
-        out, parts, length, reader, kind = [], [], 0, None, None
+        out, reader = [], _Reader()
 
         def flush():
-            cols = list(map(list, zip(*out, strict=True)))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=["id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-
-        def typed():
-            nonlocal kind
-            for b in batches:
-                kind = b.schema.types[0]
-                yield b
-
-        for conv, rows in _conversations(typed()):
-            if rows is None:
-                if parts:
-                    reader.read("".join(parts), -1, -1)
-                out.append(reader.row())
-                reader, parts, length = None, [], 0
-                if len(out) >= 5000:
-                    yield flush()
-                    out = []
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(map(list, zip(*out, strict=True)), kinds, strict=True)], names=["id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+
+        for conv, example in _examples(batches, trainable):
+            if example is not None:
+                reader.read(*example)
+                example = None  # so that the text can grow in place
                 continue
-            reader = reader or _Reader(conv)
-            for role, text in rows:
-                turn, a, b = format_turn(role, text)
-                parts.append(turn)
-                if role == trainable:
-                    reader.read("".join(parts), length + a, length + b)
-                    parts, length = [], 0
-                else:
-                    length += len(turn)
+            out.append((conv, *reader.row()))
+            reader = _Reader()
+            if len(out) >= 5000:
+                yield flush()
+                out = []
         if out:
             yield flush()
 
-    kind = df.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    kinds = [to_arrow_type(kind), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    schema = f"id {kind.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     return _sorted(df, id_col, turn_col, role_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
