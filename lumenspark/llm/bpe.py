@@ -11,6 +11,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -90,7 +91,8 @@ class Codec:
     """Encoder and decoder for one rank file."""
 
     def __init__(self, ranks: list[tuple[bytes, int]], pattern: str):
-        self.split = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
+        self.split = self.pattern.findall
         self.whole = PerfectHash([token for token, _ in ranks])
         self.ids = [i for _, i in ranks]
         self.ranks = dict(ranks)
@@ -143,15 +145,23 @@ class Codec:
             ids = self.piece(token)
             self.memory[token] = (",".join(map(str, ids)), self.decode(ids), len(ids))
 
+    def _parts(self, text: str) -> Iterator[list[str]]:
+        """Pre-tokens in lists of bounded length, whatever the text's."""
+        if len(text) <= 1 << 17:
+            if text:
+                yield self.split(text)
+            return
+        found = (m.group() for m in self.pattern.finditer(text))
+        while part := list(islice(found, 1 << 16)):
+            yield part
+
     def digest(self, text: str) -> tuple[int, str, str]:
         """Count of ids, SHA-256 of the decimal ids joined by commas, SHA-256 of the decoded bytes."""
         n, ids, raw = 0, hashlib.sha256(), hashlib.sha256()
-        tokens = self.split(text)
-        for at in range(0, len(tokens), 65_536):  # bounds what is held for a very long text
-            part = tokens[at : at + 65_536]
+        for part in self._parts(text):
             self._learn(set(part))
             known = [self.memory[t] for t in part]
-            ids.update(((b"," if at else b"") + ",".join([k[0] for k in known]).encode()))
+            ids.update(((b"," if n else b"") + ",".join([k[0] for k in known]).encode()))
             raw.update(b"".join([k[1] for k in known]))
             n += sum([k[2] for k in known])
         return n, ids.hexdigest(), raw.hexdigest()
