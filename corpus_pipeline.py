@@ -1,12 +1,17 @@
 """The corpus pipeline: five stages over documents, each written and read again before the next.
 
 Stages 1 to 4 return the columns of documents; the last adds each text's token count and digests.
-Each stage works on all rows that the one before it kept. A null text passes the filters as empty.
+Each stage works on all rows that the one before it kept.
+
+Edge cases: a null text passes the filters as empty; rows whose id is null are no copies of anything
+and stay, unless they are toxic or hold a benchmark item; rows that repeat an
+id are judged by their own texts, but by the second stage together: they stay if one of them does;
+columns beyond those of documents are left behind; empty tables give an empty table,
+but without labels of both classes the first stage raises ValueError.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
@@ -14,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenspark.llm import bpe, decontaminate, jaccard, langid, secrets, toxicity
+from lumenspark.llm.arrow import shared_folder
 from lumenspark.llm.queries import read
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -28,8 +34,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of linked documents the one with the smallest id; texts without words stay."""
     groups = jaccard.join(docs.select("doc_id", "text"), count=False)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    return docs.join(kept.distinct(), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*COLUMNS)
+    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    named = docs.select(*COLUMNS)
+    return named.join(kept, "doc_id", "left_semi").select(*COLUMNS).unionByName(named.where("doc_id IS NULL"))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +69,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn; each result is written as Parquet in the shared folder and read again."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pipeline-")
+    folder = shared_folder(spark)
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{folder}/pipeline-{uuid.uuid4().hex}/{name}"
