@@ -18,11 +18,12 @@ learnt from; without labels of both classes training raises ValueError; only the
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -104,26 +105,31 @@ def window_counts(text: bytes) -> dict[bytes, int]:
     return found
 
 
-def train(toxic: list, ordinary: list) -> Model:
-    """Dictionaries, threshold and curve from texts of the two classes, or from their windows and how often they stand there."""
-    if not toxic or not ordinary:
-        raise ValueError("training needs labelled rows of both classes")
+def train(toxic: Iterable, ordinary: Iterable) -> Model:
+    """Dictionaries, threshold and curve from texts of the two classes, or from their windows and how often they stand there.
+
+    Texts are taken one by one; of each only the numbers of its windows and their counts stay.
+    """
     number: dict[bytes, int] = {}
-    rows, counts = [], []
-    for t in [*toxic, *ordinary]:
-        own = window_counts(t.encode("utf-8", "replace").lower()) if isinstance(t, str) else t
-        rows.append(np.array([number.setdefault(w, len(number)) for w in own], np.int64))
-        counts.append(np.array(list(own.values()), np.int64))
+    rows, counts, sizes = [], [], []
+    for texts in (toxic, ordinary):
+        for t in texts:
+            own = window_counts(t.encode("utf-8", "replace").lower()) if isinstance(t, str) else t
+            rows.append(np.array([number.setdefault(w, len(number)) for w in own], np.int32))
+            counts.append(np.array(list(own.values()), np.int32))
+        sizes.append(len(rows) - sum(sizes))
+    if not all(sizes):
+        raise ValueError("training needs labelled rows of both classes")
     words = list(number)
-    y = np.array([1.0] * len(toxic) + [0.0] * len(ordinary))
-    fold = np.concatenate([np.arange(len(toxic)), np.arange(len(ordinary))]) % FOLDS
+    y = np.repeat([1.0, 0.0], sizes)
+    fold = np.concatenate([np.arange(n) for n in sizes]) % FOLDS
     flat, times, edges = np.concatenate(rows), np.concatenate(counts), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
     windows = row_sums(times, edges)
     some = lambda keep: [(rows[i], counts[i]) for i in np.flatnonzero(keep)]
     made = lambda keep, size: _dictionaries(some(keep & (y == 1)), some(keep & (y == 0)), words, size)
     best, chosen = -np.inf, None
     for size in MARKED:
-        gain = np.zeros(len(flat), np.int64)
+        gain = np.zeros(len(flat), np.int16)
         for f in range(FOLDS):
             own = np.repeat(fold == f, np.diff(edges))
             gain[own] = _gains(*made(fold != f, size), words)[flat[own]]
@@ -142,12 +148,12 @@ def train(toxic: list, ordinary: list) -> Model:
 
 def _dictionaries(bad: list[tuple], good: list[tuple], words: list[bytes], size: int) -> tuple[bytes, bytes]:
     """Toxic and ordinary dictionary from the windows (numbers of words, and how often) of each class's texts; size: words that mark toxic texts, at most."""
-    texts = lambda rows: np.bincount(np.concatenate([np.zeros(0, np.int64), *(r for r, _ in rows)]), minlength=len(words))
+    texts = lambda rows: np.bincount(np.concatenate([np.zeros(0, np.int32), *(r for r, _ in rows)]), minlength=len(words))
     in_bad, in_good = texts(bad), texts(good)
     odds = in_bad / max(1, len(bad)) / ((in_good + 0.5) / max(1, len(good)))
     able = (np.array([len(w) for w in words]) > 2) & (in_bad >= max(2, 0.006 * len(bad))) & (odds > 1)
     marked = sorted(np.flatnonzero(able).tolist(), key=lambda i: (odds[i], words[i]))[-size:]
-    often = np.bincount(np.concatenate([np.zeros(0, np.int64), *(r for r, _ in good)]), np.concatenate([np.zeros(0), *(c for _, c in good)]), len(words))
+    often = np.bincount(np.concatenate([np.zeros(0, np.int32), *(r for r, _ in good)]), np.concatenate([np.zeros(0), *(c for _, c in good)]), len(words))
     often[marked] = 0
     plain = [i for i in np.argsort(-often, kind="stable")[:ORDINARY_WORDS].tolist() if often[i]]
     shared = b"".join(written(words[i]) for i in plain[::-1]) or b" " * 16
@@ -203,15 +209,15 @@ def fit(docs: DataFrame, labels: DataFrame, keep, label="toxic", rows: int = TRA
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [window_counts(t.encode().lower()) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2).cast(pa.int32()), pa.array([list(x) for x in found], pa.list_(pa.binary())), pa.array([list(x.values()) for x in found], pa.list_(pa.int64()))], names=["id", "y", "windows", "times"]
-            )
+            windows = [b" ".join(x) for x in found]  # a window holds letters only
+            times = [np.array(list(x.values()), np.int32).tobytes() for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), pa.array(windows, pa.binary()), pa.array(times, pa.binary())], names=["id", "y", "windows", "times"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     some = sampled(docs, labels, label, keep, rows, id_col, text_col).select("_id", "_t", "_y")
-    found = some.mapInArrow(count, f"id {kind}, y int, windows array<binary>, times array<bigint>").collect()
-    found = [(r["y"], {bytes(w): n for w, n in zip(r["windows"], r["times"], strict=True)}) for r in sorted(found, key=lambda r: r["id"])]
-    return train([x for y, x in found if y == 1], [x for y, x in found if y == 0])
+    found = some.mapInArrow(count, f"id {kind}, y int, windows binary, times binary").toArrow().sort_by("id")
+    own = lambda y: (dict(zip(w.as_py().split(), np.frombuffer(t.as_py(), np.int32).tolist(), strict=True)) for w, t in zip(*(found.filter(pc.equal(found["y"], y))[c] for c in ("windows", "times")), strict=True))
+    return train(own(1), own(0))
 
 
 def score_table(df: DataFrame, model: Model, id_col="doc_id", text_col="text") -> DataFrame:
