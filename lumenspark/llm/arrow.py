@@ -1,9 +1,10 @@
-"""Shared helpers: Arrow text slices with bounded temporaries, and durable checkpoints."""
+"""Shared helpers: Arrow text slices with bounded temporaries, and durable tables."""
 
 from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -64,6 +65,9 @@ def row_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+_LOCAL: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; a temporary one only on a local master, where there is one machine."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -71,15 +75,25 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return tempfile.mkdtemp(prefix="checkpoints-")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="tables-"))
+    return _LOCAL[0]
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder, so that lineage ends there and lost executors cost nothing."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """The rows written as a table in the shared folder and read from there: lineage ends, and lost executors cost nothing."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that `durable` wrote and that nothing needs any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.table_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(df: DataFrame) -> None:

@@ -1,4 +1,4 @@
-"""Connected components by alternating large-star and small-star steps, cut by checkpoints.
+"""Connected components by alternating large-star and small-star steps, cut by written tables.
 
 No neighbour list is ever gathered: each step takes a minimum per vertex (combined before the
 shuffle) and joins it back to the edges, where AQE can split a hot vertex.
@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import durable
+from .arrow import discard, durable
 
 
 def forest(pairs) -> list[tuple]:
@@ -70,7 +70,9 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     digest = F.struct(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003))
     seen = edges.agg(digest).first()[0]
     if seen[0] <= ONE_TASK:
-        return durable(edges.coalesce(1).mapInArrow(_whole_forest, f"node {kind}, component {kind}"))
+        out = durable(edges.coalesce(1).mapInArrow(_whole_forest, f"node {kind}, component {kind}"))
+        discard(edges)
+        return out
     for _ in range(rounds):
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -79,7 +81,8 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select("u", F.col("m").alias("v")).unionAll(joined.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = durable(small)
+        before, edges = edges, durable(small)
+        discard(before)
         now = edges.agg(digest).first()[0]
         if now == seen:
             break

@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph, shingles
-from .arrow import durable, release, slices
+from .arrow import discard, durable, release, slices
 
 #: Links need 100 * |A and B| >= PER_CENT * |A or B|. The band bounds below hold for 80.
 PER_CENT = 80
@@ -170,7 +170,7 @@ def bound(n: int, frequent: list[int]) -> int:
 
 def histogram(u: np.ndarray) -> bytes:
     """Tokens per hash group; larger sets have more groups, which can be summed to fewer."""
-    bits = 6 if len(u) <= 500 else 8 if len(u) <= 2000 else 10 if len(u) <= 10_000 else 12
+    bits = 8 if len(u) <= 2000 else 10 if len(u) <= 10_000 else 12
     return np.minimum(np.bincount((u >> _U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
@@ -617,7 +617,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count:
     """
     rows = durable(describe(docs, id_col, text_col))
     classes = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("rep"), F.min("band").alias("band"), F.max("n_shingles").alias("n"), F.max("histogram").alias("histogram"), F.count("*").alias("copies"))
-    # classes are known by numbers that the checkpoint fixes, as ids may repeat with different texts
+    # classes are known by numbers that the table fixes, as ids may repeat with different texts
     classes = durable(classes.withColumn("cid", F.monotonically_increasing_id()))
     stats = classes.groupBy("band").agg(F.count("*").alias("c"), F.sum("n").alias("n")).collect()  # one row per size band
     others = {r["band"]: r["c"] for r in stats}
@@ -642,7 +642,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count:
         sets = _sets_of(texts)
         sets = durable(sets if unique else sets.groupBy("cid").agg(F.first("set").alias("set")))
         release(docs)
-        return _linked(some, sets)
+        out = _linked(some, sets)
+        discard(sets)
+        discard(some)
+        return out
 
     def every(parts: DataFrame) -> DataFrame:
         """(node, component) of all classes."""

@@ -284,7 +284,7 @@ def link(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", thre
     """(id, n_links, component_id, kept) of every row; ids are 64-bit integers."""
     rows = durable(_keyed(df, id_col, vec_col))
     classes = rows.where("key IS NOT NULL AND id IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("vec").alias("vec"))
-    # classes are known by numbers that the checkpoint fixes, as ids may repeat with different vectors
+    # classes are known by numbers that the table fixes, as ids may repeat with different vectors
     classes = durable(_codes(classes.withColumn("cid", F.monotonically_increasing_id())))
     bits, tables = parameters(classes.count(), threshold)
     dealt = _tables(classes, bits, tables).repartition("t", "bucket").sortWithinPartitions("t", "bucket")
