@@ -18,19 +18,38 @@ D50, D65 = (0.345704, 0.358540), (0.3127, 0.3290)
 # The Bradford cone response matrix.
 BRADFORD = np.array([[0.8951, 0.2664, -0.1614], [-0.7502, 1.7135, 0.0367], [0.0389, -0.0685, 1.0296]])
 
+# Spellings that the option interface accepts for colour spaces and transfer functions, and the names that reports give.
 ALIASES = {
-    "srgb": "srgb", "rec709": "srgb", "bt709": "srgb", "p3": "p3", "displayp3": "p3", "display-p3": "p3", "rec2020": "rec2020",
-    "bt2020": "rec2020", "2020": "rec2020", "prophoto": "prophoto", "romm": "prophoto", "adobergb": "adobergb", "adobe": "adobergb",
+    "auto": "auto", "srgb": "srgb", "sRGB": "srgb", "rec709": "srgb", "p3": "p3", "DisplayP3": "p3", "displayp3": "p3", "rec2020": "rec2020",
+    "Rec2020": "rec2020", "bt2020": "rec2020", "prophoto": "prophoto", "ProPhotoRGB": "prophoto", "romm": "prophoto", "adobergb": "adobergb", "AdobeRGB": "adobergb",
 }
+TRANSFERS = {
+    "auto": "auto", "linear": "linear", "srgb": "srgb", "gamma1.8": "gamma18", "gamma18": "gamma18", "gamma2.2": "gamma22", "gamma22": "gamma22", "romm": "romm",
+    "prophoto": "romm", "pq": "pq", "rec2100pq": "pq", "hlg": "hlg", "rec2100hlg": "hlg",
+}
+PRIMARIES_NAMES = {"auto": "auto", "prophoto": "ProPhotoRGB", "srgb": "sRGB", "p3": "DisplayP3", "rec2020": "Rec2020", "adobergb": "AdobeRGB"}
+TRANSFER_NAMES = {"auto": "auto", "linear": "linear", "srgb": "srgb", "gamma18": "gamma1.8", "gamma22": "gamma2.2", "romm": "romm", "pq": "pq", "hlg": "hlg"}
 
 
 def parse_primaries(name: str) -> str:
-    key = name.strip().lower()
+    key = name
     if key not in ALIASES:
         raise ValueError(f"unknown colour space {name!r}")
     return ALIASES[key]
 
 
+def parse_transfer(name: str) -> str:
+    key = name
+    if key not in TRANSFERS:
+        raise ValueError(f"unknown transfer function {name!r}")
+    return TRANSFERS[key]
+
+
+def named(c: Column, names: dict[str, str]) -> Column:
+    """A column of values looked up in an option table; null where there is no such value."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), c)
+
+
 def _white(xy) -> np.ndarray:
     return np.array([xy[0] / xy[1], 1.0, (1 - xy[0] - xy[1]) / xy[1]])
 
@@ -102,16 +121,38 @@ HLG = {"a": 0.17883277, "b": 1 - 4 * 0.17883277, "c": 0.55991073}
 
 
 def decode_pq(v: Column, diffuse_nits: float = 203.0) -> Column:
-    p = F.pow(clamp(v, 0, 1), 1 / PQ["m2"])
-    return F.pow(F.greatest(p - PQ["c1"], F.lit(0.0)) / (PQ["c2"] - PQ["c3"] * p), 1 / PQ["m1"]) * (10000.0 / max(1.0, diffuse_nits))
+    p = F.pow(F.greatest(F.lit(0.0), v), 1 / PQ["m2"])
+    below = PQ["c2"] - PQ["c3"] * p  # reaches 0 far above the coded range, where light is 0
+    light = F.pow(F.greatest(p - PQ["c1"], F.lit(0.0)) / F.greatest(below, F.lit(1e-300)), 1 / PQ["m1"])
+    return F.when(below <= 0, 0.0).otherwise(light * (10000.0 / max(1.0, diffuse_nits)))
 
 
 def decode_hlg(v: Column, diffuse_nits: float = 203.0) -> Column:
-    e = clamp(v, 0, 1)
+    e = F.greatest(F.lit(0.0), v)
     scene = F.when(e <= 0.5, e * e / 3).otherwise((F.exp((e - HLG["c"]) / HLG["a"]) + HLG["b"]) / 12)
     return F.pow(scene, 1.2) * (1000.0 / max(1.0, diffuse_nits))
 
 
+def decode_by(transfer: Column, v: Column, diffuse_nits: float = 203.0) -> Column:
+    """Light by each row's own transfer function; null for an unknown one."""
+    out = F.when(F.lit(False), F.lit(None).cast("double"))
+    for name in ("linear", "srgb", "gamma18", "gamma22", "romm", "pq", "hlg"):
+        out = out.when(transfer == name, decode(name, v, diffuse_nits))
+    return out
+
+
+def convert_by(source: Column, target: str, r: Column, g: Column, b: Column) -> list[Column]:
+    """RGB of each row's own space in a target space."""
+    made = {n: convert(conversion(n, target), r, g, b) for n in PRIMARIES}
+    out = []
+    for i in range(3):
+        c = F.when(F.lit(False), F.lit(None).cast("double"))
+        for n, rgb in made.items():
+            c = c.when(source == n, rgb[i])
+        out.append(c)
+    return out
+
+
 def decode(transfer: str, v: Column, diffuse_nits: float = 203.0) -> Column:
     made = {
         "linear": lambda: v,
@@ -153,3 +194,9 @@ def saturation(r: Column, g: Column, b: Column) -> Column:
 
 def luminance709(r: Column, g: Column, b: Column) -> Column:
     return dot((0.2126, 0.7152, 0.0722), r, g, b)
+
+
+def nearest_transfer(x: Column, v: Column) -> Column:
+    """Curve that comes nearest to a sampled point; the first listed wins ties."""
+    made = {"linear": x, "gamma18": F.pow(x, 1.8), "gamma22": F.pow(x, 2.2), "srgb": decode_srgb(x)}
+    return F.array_min(F.array(*[F.struct(F.abs(v - c).alias("error"), F.lit(i).alias("pos"), F.lit(n).alias("name")) for i, (n, c) in enumerate(made.items())]))["name"]

@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .color import clamp
+from .color import clamp, encode_srgb
 
 PIVOT = 0.18
 # The constants of the filmic curve.
 HABLE = (0.15, 0.50, 0.10, 0.20, 0.02, 0.30)
-CURVES = {"local": "local", "reinhard": "reinhard", "filmic": "filmic", "hable": "filmic", "clip": "clip", "none": "clip"}
+# Spellings that the option interface accepts.
+CURVES = {"local": "local", "reinhard": "reinhard", "filmic": "filmic", "clip": "clip", "none": "clip"}
 
 
 def parse_curve(name: str) -> str:
-    if name.lower() not in CURVES:
+    if name not in CURVES:
         raise ValueError(f"unknown tone map {name!r}")
-    return CURVES[name.lower()]
+    return CURVES[name]
 
 
 def _c(v) -> Column:
@@ -127,3 +128,8 @@ def ev(a: Column, b: Column) -> Column:
 def histogram_bin(l: Column) -> Column:
     """Bin of 384 over 2^-14..2^10, 16 to a stop, to the nearest bin centre."""
     return clamp(F.round((F.log2(l) + 14) * 16), 0, 383).cast("int")
+
+
+def sdr_pixel(hdr: Column, scale: Column) -> Column:
+    """8-bit value of a channel: scaled, clamped, coded by sRGB's curve in every space, and rounded."""
+    return F.round(255 * encode_srgb(hdr * scale)).cast("int")
