@@ -38,20 +38,23 @@ def guide_radius(width: int, height: int) -> int:
 
 
 def bilinear(plane: DataFrame, guide: DataFrame, block: int, name: str = "base") -> DataFrame:
-    """Adds to each pixel the guide(image_id, gy, gx, v) at its place, cells centred at (g + 0.5) * block, edges repeated."""
-    size = guide.groupBy("image_id").agg(F.max("gy").alias("_h"), F.max("gx").alias("_w"))
-    p = plane.join(size, "image_id")
+    """Adds to each pixel the guide(image_id, gy, gx, v) at its place, cells centred at (g + 0.5) * block, edges repeated.
+
+    A guide has at most 1024 cells a side, so it is joined as rows of arrays: a pixel reads its two
+    rows and picks its four cells from them. Catalyst broadcasts the rows where they are small.
+    """
+    rows = guide.groupBy("image_id", "gy").agg(F.array_sort(F.collect_list(F.struct("gx", "v"))).alias("_cells"))
+    last = guide.groupBy("image_id").agg(F.max("gy").alias("_h"), F.max("gx").alias("_w"))
     fy, fx = (F.col("y") + 0.5) / block - 0.5, (F.col("x") + 0.5) / block - 0.5
-    p = p.withColumn("_fy", fy - F.floor(fy)).withColumn("_fx", fx - F.floor(fx))
     bound = lambda v, top: F.least(F.col(top), F.greatest(F.lit(0), v)).cast("long")
-    taps = [
-        F.struct(bound(F.floor(fy) + dy, "_h").alias("gy"), bound(F.floor(fx) + dx, "_w").alias("gx"), ((F.col("_fy") if dy else 1 - F.col("_fy")) * (F.col("_fx") if dx else 1 - F.col("_fx"))).alias("w"))
-        for dy in (0, 1)
-        for dx in (0, 1)
-    ]
-    t = p.select("image_id", "y", "x", F.explode(F.array(*taps)).alias("t")).select("image_id", "y", "x", "t.*")
-    found = t.join(guide.select("image_id", "gy", "gx", F.col("v").alias("_g")), ["image_id", "gy", "gx"])
-    return plane.join(found.groupBy("image_id", "y", "x").agg(F.sum(F.col("w") * F.col("_g")).alias(name)), ["image_id", "y", "x"])
+    p = plane.join(last, "image_id").withColumns({"_ya": bound(F.floor(fy), "_h"), "_yb": bound(F.floor(fy) + 1, "_h"), "_xa": bound(F.floor(fx), "_w"), "_xb": bound(F.floor(fx) + 1, "_w"), "_ty": fy - F.floor(fy), "_tx": fx - F.floor(fx)})
+    for side in ("a", "b"):
+        own = rows.select("image_id", F.col("gy").alias(f"_y{side}"), F.transform("_cells", lambda c: c["v"]).alias(f"_r{side}"))
+        p = p.join(own, ["image_id", f"_y{side}"])
+    cell = lambda r, x: F.element_at(r, (F.col(x) + 1).cast("int"))
+    line = lambda r: cell(r, "_xa") * (1 - F.col("_tx")) + cell(r, "_xb") * F.col("_tx")
+    made = line("_ra") * (1 - F.col("_ty")) + line("_rb") * F.col("_ty")
+    return p.withColumn(name, made).select(*plane.columns, name)
 
 
 def blob_like(mask: DataFrame) -> DataFrame:

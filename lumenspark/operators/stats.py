@@ -23,6 +23,44 @@ def guide_block(width: int, height: int) -> int:
     return max(1, -(-max(width, height) // 1024))
 
 
+def block_size_of(width: Column, height: Column, exact: bool = False) -> Column:
+    """`block_size` of each image."""
+    edge = F.greatest(width, height)
+    return F.lit(1) if exact else F.greatest(F.ceil(edge / 2048), F.when(edge > 512, 2).otherwise(1)).cast("int")
+
+
+def guide_block_of(width: Column, height: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.greatest(width, height) / 1024)).cast("int")
+
+
+def guide_radius_of(guide_width: Column, guide_height: Column) -> Column:
+    return F.greatest(F.lit(2), F.floor(F.greatest(guide_width, guide_height) / 16)).cast("int")
+
+
+def channel_ceilings(pixels: DataFrame, block: int, channels=("r", "g", "b"), keys=("image_id",)) -> DataFrame:
+    """Per image and channel the highest block mean of what is not negative, as ceil_<channel>."""
+    b = F.lit(block)
+    cells = pixels.groupBy(*keys, F.floor(F.col("y") / b).alias("gy"), F.floor(F.col("x") / b).alias("gx")).agg(*[F.avg(F.greatest(F.lit(0.0), F.col(c))).alias(c) for c in channels])
+    return cells.groupBy(*keys).agg(*[F.max(c).alias(f"ceil_{c}") for c in channels])
+
+
+def held(pixels: DataFrame, ceilings: DataFrame, channels=("r", "g", "b"), keys=("image_id",)) -> DataFrame:
+    """Pixels with each channel between 0 and its image's ceiling; ceilings are one row per image."""
+    out = pixels.join(ceilings, list(keys))
+    return out.withColumns({c: F.least(F.col(f"ceil_{c}"), F.greatest(F.lit(0.0), F.col(c))) for c in channels}).select(*pixels.columns)
+
+
+def flat_white(pixels: DataFrame, keys=("image_id",)) -> DataFrame:
+    """Per image how many 8-bit pixels are white in all channels, and the mean level (0..1) of its base."""
+    white = (F.col("r") == 255) & (F.col("g") == 255) & (F.col("b") == 255)
+    return pixels.groupBy(*keys).agg(F.count_if(white).alias("flat_white"), (F.avg((F.col("r") + F.col("g") + F.col("b")) / 3.0) / 255).alias("mean_level"))
+
+
+def study(rows: DataFrame, x: str, y: str, constant: float) -> DataFrame:
+    """Correlation of two columns, and the mean absolute error of a constant as an estimate of the second."""
+    return rows.agg(F.corr(x, y).alias("r"), F.avg(F.abs(F.col(y) - constant)).alias("mae"), F.count("*").alias("n"))
+
+
 def peaks(plane: DataFrame, block: int, keys=("image_id",)) -> DataFrame:
     """True and softened peak of luminance l, at least 0, with their headrooms in stops."""
     soft = block_means(plane, block, F.col("l"), keys).groupBy(*keys).agg(F.greatest(F.max("v"), F.lit(0.0)).alias("softened"))
@@ -70,15 +108,17 @@ def auto_shape(hist: DataFrame, curve: str = "reinhard", max_boost: float = 2.3,
     return p.withColumn("lift", F.when(t(a) > 0, tone.clamp(lift, 0, 1.5)).otherwise(0.0)).select(*keys, "median", "lift", "contrast")
 
 
-def indexed_percentiles(samples: DataFrame, value: str, fractions: dict[str, float]) -> DataFrame:
+def indexed_percentiles(samples: DataFrame, value: str, fractions: dict[str, float], ranges: int = 64) -> DataFrame:
     """Values at index min(n - 1, floor(n * f)) of the sorted samples, without sorting them into one task.
 
-    Equal values are counted first; their running count is made per range of values and shifted by
-    the totals of the ranges below, so each task holds one range.
+    Equal values are counted first. Approximate quantiles cut them into ranges, a column of each row
+    (any cuts give the same result); their running count is made per range and shifted by the
+    totals of the ranges below.
     """
     counts = samples.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    ranged = counts.repartitionByRange("v").withColumn("part", F.spark_partition_id())
-    ranged = ranged.groupBy("part", "v").agg(F.sum("n").alias("n"))
+    cuts = sorted(set(counts.approxQuantile("v", [i / ranges for i in range(1, ranges)], 0.01)))
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("v"))) if cuts else F.lit(0)
+    ranged = counts.withColumn("part", part)
     totals = ranged.groupBy("part").agg(F.sum("n").alias("t"))
     below = totals.select("part", (F.sum("t").over(Window.orderBy("part")) - F.col("t")).alias("below"), F.sum("t").over(Window.partitionBy()).alias("total"))
     run = ranged.join(F.broadcast(below), "part").withColumn("cum", F.col("below") + F.sum("n").over(Window.partitionBy("part").orderBy("v")))  # one row per range
