@@ -14,24 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import color, tone
 from ..operators import gain, match, plane, stats
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _read(spark, d, name):
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
+from .registry import QUERIES, SQL, query
+from .registry import read as _read
 
 def _plane(spark, d, value=lambda v: F.pow(F.lit(2.0), 8 * v)):
     """(image_id, y, x, l) of the embeddings."""
@@ -63,7 +47,7 @@ def _r(c, n=6):
 # transfer functions -----------------------------------------------------------------------------
 def _transfer(name):
     def run(spark, d):
-        v = _read(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), (F.col("l_extendedprice") / 110000).alias("v"))
+        v = _read(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), (F.col("l_extendedprice") / 90000).alias("v"))
         out = color.decode(name, F.col("v"))
         return v.groupBy("flag").agg(_r(F.avg(out)).alias("mean"), _r(F.max(out)).alias("top"), F.count("*").alias("n"))
 
@@ -73,6 +57,7 @@ def _transfer(name):
 
 _PQ, _HLG = color.PQ, color.HLG
 _T = {
+    "linear": "v",
     "srgb": "CASE WHEN v <= 0.04045 THEN v / 12.92 ELSE pow((v + 0.055) / 1.055, 2.4) END",
     "gamma22": "CASE WHEN v <= 0 THEN 0 ELSE pow(v, 2.2) END",
     "gamma18": "CASE WHEN v <= 0 THEN 0 ELSE pow(v, 1.8) END",
@@ -81,7 +66,7 @@ _T = {
     "hlg": f"pow(CASE WHEN v <= 0.5 THEN v * v / 3 ELSE (exp((v - {_HLG['c']}) / {_HLG['a']}) + {_HLG['b']}) / 12 END, 1.2) * 1000 / 203",
 }
 for _name, _sql in _T.items():
-    query(f"SELECT flag, round(avg({_sql}), 6) AS mean, round(max({_sql}), 6) AS top, count(*) AS n FROM (SELECT l_returnflag AS flag, l_extendedprice / 110000 AS v FROM lineitem) GROUP BY flag")(_transfer(_name))
+    query(f"SELECT flag, round(avg({_sql}), 6) AS mean, round(max({_sql}), 6) AS top, count(*) AS n FROM (SELECT l_returnflag AS flag, l_extendedprice / 90000 AS v FROM lineitem) GROUP BY flag")(_transfer(_name))
 
 
 def _dot_sql(w):
@@ -156,10 +141,8 @@ def block_mean_peak(spark, d):
 
 @query(f"WITH {P_SQL}, b AS (SELECT y // 2 AS gy, x // 2 AS gx, avg(greatest(0, l)) AS r, avg(greatest(0, l * 0.75)) AS g, avg(greatest(0, l - 1)) AS b FROM p GROUP BY ALL) SELECT round(max(r), 6) AS r, round(max(g), 6) AS g, round(max(b), 6) AS b FROM b")
 def channel_ceiling(spark, d):
-    p = _plane(spark, d)
-    made = {"r": F.col("l"), "g": F.col("l") * 0.75, "b": F.col("l") - 1}
-    b = p.groupBy(F.floor(F.col("y") / 2), F.floor(F.col("x") / 2)).agg(*[F.avg(F.greatest(F.lit(0.0), v)).alias(c) for c, v in made.items()])
-    return b.agg(*[_r(F.max(c)).alias(c) for c in made])
+    p = _plane(spark, d).select("image_id", "y", "x", F.col("l").alias("r"), (F.col("l") * 0.75).alias("g"), (F.col("l") - 1).alias("b"))
+    return stats.channel_ceilings(p, 2).select(*[_r(F.col(f"ceil_{c}")).alias(c) for c in "rgb"])
 
 
 @query(f"WITH {L_SQL}, {H_SQL} SELECT bin, n FROM h")
@@ -330,27 +313,6 @@ def ycbcr_420(spark, d):
     return m.groupBy("gy").agg(F.sum(cb).alias("cb"), F.sum(cr).alias("cr"), F.sum(y).alias("luma"))
 
 
-_DC = f"{_INT}, b8 AS (SELECT y // 8 AS by_, x // 8 AS bx, CAST(round(avg(r) - 128) AS INTEGER) AS dc FROM i GROUP BY ALL), df AS (SELECT by_, bx, dc - lag(dc, 1, 0) OVER (PARTITION BY by_ ORDER BY bx) AS diff FROM b8)"
-
-
-def _dc(spark, d):
-    from pyspark.sql import Window
-
-    b = _ints(spark, d).groupBy(F.floor(F.col("y") / 8).alias("by_"), F.floor(F.col("x") / 8).alias("bx")).agg(F.round(F.avg("r") - 128).cast("int").alias("dc"))
-    return b.withColumn("diff", F.col("dc") - F.lag("dc", 1, 0).over(Window.partitionBy("by_").orderBy("bx")))
-
-
-@query(f"WITH {_DC} SELECT CAST(by_ AS BIGINT) AS by_, CAST(bx AS BIGINT) AS bx, diff FROM df")
-def dc_differences(spark, d):
-    return _dc(spark, d).select("by_", "bx", "diff")
-
-
-@query(f"WITH {_DC} SELECT CASE WHEN diff = 0 THEN 0 ELSE CAST(floor(log2(abs(diff))) AS INTEGER) + 1 END AS category, count(*) AS n FROM df GROUP BY 1")
-def dc_categories(spark, d):
-    size = F.when(F.col("diff") == 0, 0).otherwise(F.length(F.bin(F.abs(F.col("diff")))))
-    return _dc(spark, d).groupBy(size.alias("category")).agg(F.count("*").alias("n"))
-
-
 def _cands():
     out = []
     for n in color.PRIMARIES:
@@ -371,20 +333,22 @@ def nearest_primaries(spark, d):
     return match.nearest_primaries(e.select("vec_id", made.alias("colorants"))).select("vec_id", "nearest", _r(F.col("err")).alias("err"))
 
 
-@query("WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e, label FROM embeddings), c AS (SELECT vec_id, label, list_transform(e, lambda x: x - list_avg(e)) AS e FROM v), q AS (SELECT a.vec_id AS received, b.vec_id AS sent, list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)) + 1e-9) AS r FROM c a, c b WHERE b.label = 0 AND a.label <> 0), k AS (SELECT *, row_number() OVER (PARTITION BY received ORDER BY r DESC, sent) AS n FROM q) SELECT received, sent, round(r, 6) AS r FROM k WHERE n = 1")
+@query("WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), c AS (SELECT vec_id, list_transform(e, lambda x: x - list_avg(e)) AS e FROM v), q AS (SELECT a.vec_id AS received, b.vec_id AS sent, list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)) + 1e-9) AS r FROM c a, c b WHERE b.vec_id % 100 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY received ORDER BY r DESC, sent) AS n FROM q) SELECT received, sent, round(r, 6) AS r FROM k WHERE n = 1")
 def best_match(spark, d):
-    e = _read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"), "label")
-    return match.best_match(e.where("label <> 0"), e.where("label = 0")).select("received", "sent", _r(F.col("r")).alias("r"))
+    """All rows against a stated query set, those whose id is divisible by 100."""
+    e = _read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+    return match.best_match(e, e.where("id % 100 = 0")).select("received", "sent", _r(F.col("r")).alias("r"))
 
 
 def _side_sql(s):
-    return f"(SELECT lang AS name, string_agg(n_chars || '/' || substr(md5(text), 1, 8), ' ' ORDER BY doc_id) AS l, min(doc_id) AS f FROM documents WHERE source = '{s}' GROUP BY 1)"
+    return f"(SELECT lang AS name, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n, n_chars || '/' || substr(md5(text), 1, 8) AS e, doc_id FROM documents WHERE source = '{s}')"
 
 
-@query(f"SELECT coalesce(a.name, b.name) AS name, coalesce(a.l, '-- absent --') AS a, coalesce(b.l, '-- absent --') AS b, a.l IS DISTINCT FROM b.l AS differs, coalesce(a.f, b.f + 1000000) AS position FROM {_side_sql('src1')} a FULL OUTER JOIN {_side_sql('src2')} b ON a.name = b.name")
+@query(f"WITH j AS (SELECT coalesce(a.name, b.name) AS name, a.e AS a, b.e AS b, a.doc_id AS p, b.doc_id AS q FROM {_side_sql('src1')} a FULL OUTER JOIN {_side_sql('src2')} b ON a.name = b.name AND a.n = b.n) SELECT name, count(a) AS a, count(b) AS b, bool_or(a IS DISTINCT FROM b) AS differs, CASE WHEN min(p) IS NULL THEN 1 ELSE 0 END AS side, coalesce(min(p), min(q)) AS place FROM j GROUP BY name")
 def segment_diff(spark, d):
+    """Two files' segments side by side; the sources src1 and src2 stand in for the two files that are compared."""
     s = _read(spark, d, "documents").select("source", F.col("lang").alias("name"), F.col("doc_id").alias("seq"), F.col("n_chars").alias("size"), F.substring(F.md5("text"), 1, 8).alias("digest"))
-    return match.align(s.where("source = 'src1'"), s.where("source = 'src2'"))
+    return match.differences(match.align(s.where("source = 'src1'"), s.where("source = 'src2'")))
 
 
 @query("SELECT page_id, CASE WHEN a <> '' THEN a ELSE t END AS value, CASE WHEN a <> '' THEN 'attribute' WHEN t <> '' THEN 'element' ELSE 'absent' END AS form FROM (SELECT page_id, regexp_extract(html, 'lang=\"([^\"]*)\"', 1) AS a, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages)")
@@ -419,6 +383,9 @@ def headroom_report(spark, d):
     return q.select(_r(F.col("headroom")).alias("headroom"), _r(F.col("median")).alias("median"), _r(F.col("above")).alias("above"))
 
 
+from . import catalog_files, catalog_values  # noqa: E402, F401  (they register themselves)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
