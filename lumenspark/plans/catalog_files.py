@@ -60,18 +60,20 @@ def tiff_images(spark, d):
     return tiffs.images(_tiffs(spark, d)).select("path", "accepted", "reason", "little", "width", "height", "channels", "bits", "compression", "segments")
 
 
-@query(f"SELECT s_suppkey || '.tif' AS path, c, count(*) AS n, round(sum(v / 255.0), 3) AS total, round(sum(v / 255.0 * (y * 22 + x)), 1) AS placed FROM (SELECT s_suppkey, y, x, c, {_VALUE} AS v FROM supplier, range(13) a(y), range(22) b(x), (VALUES (0), (1), (2)) e(c) WHERE NOT (s_suppkey % 12 = 11 AND c > 0)) GROUP BY ALL")
+@query(f"SELECT s_suppkey || '.tif' AS path, c, count(*) AS n, CAST(sum(v) AS BIGINT) AS total, CAST(sum(v * (y * 22 + x)) AS BIGINT) AS placed FROM (SELECT s_suppkey, y, x, c, {_VALUE} AS v FROM supplier, range(13) a(y), range(22) b(x), (VALUES (0), (1), (2)) e(c) WHERE NOT (s_suppkey % 12 = 11 AND c > 0)) GROUP BY ALL")
 def tiff_samples(spark, d):
     """Samples of files in twelve packings; sums over values and over values by place."""
     s = tiffs.samples(tiffs.bands(tiffs.segments(_tiffs(spark, d))))
-    return s.groupBy("path", "c").agg(F.count("*").alias("n"), _r(F.sum("v"), 3).alias("total"), _r(F.sum(F.col("v") * (F.col("y") * 22 + F.col("x"))), 1).alias("placed"))
+    level = F.round(F.col("v") * 255).cast("long")  # the images' values are multiples of 1 / 255
+    return s.groupBy("path", "c").agg(F.count("*").alias("n"), F.sum(level).alias("total"), F.sum(level * (F.col("y") * 22 + F.col("x"))).alias("placed"))
 
 
-@query(f"SELECT s_suppkey || '.tif' AS image_id, CAST(y AS INTEGER) AS y, round(sum(CASE WHEN c = 0 THEN v END) / 255.0, 3) AS r, round(sum(CASE WHEN c = 2 OR s_suppkey % 12 = 11 THEN v END) / 255.0, 3) AS b FROM (SELECT s_suppkey, y, x, c, {_VALUE} AS v FROM supplier, range(5, 9) a(y), range(22) b(x), (VALUES (0), (2)) e(c) WHERE NOT (s_suppkey % 12 = 11 AND c > 0)) GROUP BY ALL")
+@query(f"SELECT s_suppkey || '.tif' AS image_id, CAST(y AS INTEGER) AS y, CAST(sum(CASE WHEN c = 0 THEN v END) AS BIGINT) AS r, CAST(sum(CASE WHEN c = 2 OR s_suppkey % 12 = 11 THEN v END) AS BIGINT) AS b FROM (SELECT s_suppkey, y, x, c, {_VALUE} AS v FROM supplier, range(5, 9) a(y), range(22) b(x), (VALUES (0), (2)) e(c) WHERE NOT (s_suppkey % 12 = 11 AND c > 0)) GROUP BY ALL")
 def tiff_rows(spark, d):
     """Rows 5 to 8 only: segments that hold none of them are not decoded."""
     px = tiffs.pixels(tiffs.bands(tiffs.rows_between(tiffs.segments(_tiffs(spark, d)), 5, 4)))
-    return px.where("y BETWEEN 5 AND 8").groupBy("image_id", "y").agg(_r(F.sum("r"), 3).alias("r"), _r(F.sum("b"), 3).alias("b"))
+    level = lambda c: F.sum(F.round(F.col(c) * 255).cast("long")).alias(c)
+    return px.where("y BETWEEN 5 AND 8").groupBy("image_id", "y").agg(level("r"), level("b"))
 
 
 @query("SELECT s_suppkey || '.tif' AS path, '41434D4500' AS make, '0000000000000000' AS exposure, CAST(CASE WHEN s_suppkey % 12 IN (6, 8) THEN 15 ELSE 14 END AS BIGINT) AS ifd0 FROM supplier")

@@ -258,3 +258,19 @@ def test_settings_and_patterns(spark):
     a = patterns.lognormal_scene(spark, 0.2, 1.6, 300, part=300).collect()
     b = patterns.lognormal_scene(spark, 0.2, 1.6, 300, part=7).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+def test_files_encoded_as_they_arrive(spark, tmp_path):
+    from lumenspark.streaming import watch
+
+    inbox, out, state = (tmp_path / n for n in ("in", "out", "state"))
+    inbox.mkdir()
+    run = lambda: watch.encode_arriving(spark, f"file://{inbox}", f"file://{out}", f"file://{state}", options.EncodeOptions(input_primaries="p3"), once=True, files_per_trigger=1).awaitTermination(120)
+    for k in range(2):
+        (inbox / f"{k}.tif").write_bytes(tiff.write(RNG.random((8, 8, 3)), 32))
+    (inbox / "note.txt").write_text("left alone")
+    run()
+    (inbox / "bad.tif").write_bytes(b"no image")
+    run()
+    got = {r["path"].rpartition("/")[2]: r["ok"] for r in spark.read.parquet(f"file://{out}").collect()}
+    assert got == {"0.tif": True, "1.tif": True, "bad.tif": False}
