@@ -23,8 +23,8 @@ band: all its partners there share one of the rarer signatures.
 of the smaller counts of two histograms bounds their intersection from above. Signatures are dealt
 to buckets as packed arrays. A signature's sets form pairs; where more than FEW share one, only
 pairs with the smallest (the hub) are formed. First each set is compared with its likeliest partner,
-which brings copies together. Then the pairs whose ends are still apart are compared, and each set
-that is not free with those sets of its hubs that are no larger, still apart and allowed by their
+which brings copies together. Then the pairs whose ends are still apart are compared, and at last each
+set that is not free with those sets of its hubs that are no larger, still apart and allowed by their
 histograms. So no link that could join two components is left out, and no group of copies emits all
 its pairs. A hub with many sets is dealt to cells of chunk pairs. Sets that have several hubs in common
 form a pair in the smallest of these only.
@@ -658,12 +658,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count:
     parts = every(graph.components(linked(_plausible(first, classes)), "a", "b"))
     # pairs that only frequent signatures have brought together are left to their hubs
     rest = _across(ranked.where("rare AND NOT top").select("a", "b"), parts)
+    # they come together before hubs are looked at, as these compare what is apart
+    parts = every(_merged(parts, linked(_plausible(rest, classes))))
     often = hubs.groupBy(F.col("b").alias("x")).agg(*(F.sum(f).alias(f) for f in ("f0", "f1", "f2")))
     often = often.join(classes.select(F.col("cid").alias("x"), "n"), "x")
     members = hubs.select(F.col("a").alias("hub"), F.col("b").alias("x")).join(_bounds(often), "x")
     members = members.join(parts.select(F.col("node").alias("x"), F.col("component").alias("part")), "x")
     more = _within_hubs(members.select("hub", "x", "part", "bits", "n"), classes)
-    parts = every(_merged(parts, linked(_plausible(rest, classes).unionAll(more).distinct())))
+    parts = every(_merged(parts, linked(more)))
     # components are named by their smallest id
     own = classes.join(parts, F.col("cid") == F.col("node")).select("cid", "class", "rep", "n", "copies", F.col("component").alias("part"))
     named = own.join(own.groupBy("part").agg(F.min("rep").alias("least")), "part")
