@@ -374,11 +374,11 @@ def preset_migration(spark, d):
     return _read(spark, d, "events").select("event_type", F.when(g > 1, F.round(1 / g, 4)).otherwise(g).alias("gamma")).groupBy("event_type", "gamma").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {P_SQL}, s AS (SELECT l FROM p), {H_SQL}, {_RUN}, b AS (SELECT y // 2 AS gy, x // 2 AS gx, avg(l) AS v FROM p GROUP BY ALL) SELECT (SELECT round(log2(max(v)), 6) FROM b) AS headroom, (SELECT round({_pct_sql(0.5)}, 6) FROM r) AS median, (SELECT round(sum(CASE WHEN bin > 224 THEN n ELSE 0 END) / sum(n), 6) FROM h) AS above")
+@query(f"WITH {P_SQL}, b AS (SELECT y // 2 AS gy, x // 2 AS gx, avg(l) AS v FROM p GROUP BY ALL), s AS (SELECT v AS l FROM b), {H_SQL}, {_RUN} SELECT (SELECT round(log2(max(v)), 6) FROM b) AS headroom, (SELECT round({_pct_sql(0.5)}, 6) FROM r) AS median, (SELECT round(sum(CASE WHEN bin > 224 THEN n ELSE 0 END) / sum(n), 6) FROM h) AS above")
 def headroom_report(spark, d):
-    """Flagship: headroom, median and share above white of each image, in one pass for each of the two groupings."""
+    """Flagship: headroom, and median and share above white of the block means of each image."""
     p = _plane(spark, d)
-    h = stats.log_histogram(p, "l", ("image_id",))
+    h = stats.log_histogram(stats.block_means(p, 2, F.col("l")), "v", ("image_id",))
     q = stats.percentile(h, {"median": 0.5}, ("image_id",)).join(stats.fraction_above(h, 1.0, ("image_id",)), "image_id").join(stats.peaks(p, 2), "image_id")
     return q.select(_r(F.col("headroom")).alias("headroom"), _r(F.col("median")).alias("median"), _r(F.col("above")).alias("above"))
 
