@@ -44,20 +44,21 @@ def _product(a, k: int):
     return (((a * high).bitwiseAND(F.lit(0xFFFF)) * 65536) + a * low).bitwiseAND(F.lit(MASK))
 
 
-def grain(x, y, c: int):
-    """A value of -0.5 to 0.5 for a place and channel."""
-    v = (_product(x.cast("long"), GRAIN[0]) + _product(y.cast("long"), GRAIN[1]) + (c * GRAIN[2] & MASK)).bitwiseAND(F.lit(MASK))
-    v = _product(v.bitwiseXOR(F.shiftrightunsigned(v, 13)), GRAIN[3])
-    return v.bitwiseXOR(F.shiftrightunsigned(v, 16)).bitwiseAND(F.lit(0xFFFF)) / 65535.0 - 0.5
-
-
 def detailed_pattern(spark: SparkSession, width: int, height: int, peak: float, image_id: str = "pattern") -> DataFrame:
-    """The pattern with texture at two scales and grain that grow with its level."""
+    """The pattern with texture at two scales and grain (a hash of place and channel) that grow with its level.
+
+    The hash goes by steps of columns, as each step uses the one before it more than once.
+    """
     p = hdr_pattern(spark, width, height, peak, image_id)
     x, y = F.col("x"), F.col("y")
-    texture = 0.10 * F.sin(x * 0.31 + y * 0.17) * F.cos(x * 0.07 - y * 0.23)
-    made = {n: F.greatest(F.lit(0.0), F.col(n) * (1 + texture) + 0.03 * F.col(n) * grain(x, y, k)) for k, n in enumerate("rgb")}
-    return p.withColumns(made)
+    place = _product(x.cast("long"), GRAIN[0]) + _product(y.cast("long"), GRAIN[1])
+    mixed = lambda c, shift: F.col(c).bitwiseXOR(F.shiftrightunsigned(F.col(c), shift))
+    p = p.withColumn("_texture", 1 + 0.10 * F.sin(x * 0.31 + y * 0.17) * F.cos(x * 0.07 - y * 0.23))
+    p = p.withColumns({f"_{n}": (place + (k * GRAIN[2] & MASK)).bitwiseAND(F.lit(MASK)) for k, n in enumerate("rgb")})
+    p = p.withColumns({f"_{n}": mixed(f"_{n}", 13) for n in "rgb"})
+    p = p.withColumns({f"_{n}": _product(F.col(f"_{n}"), GRAIN[3]) for n in "rgb"})
+    grain = lambda n: mixed(f"_{n}", 16).bitwiseAND(F.lit(0xFFFF)) / 65535.0 - 0.5
+    return p.select("image_id", "y", "x", *[F.greatest(F.lit(0.0), F.col(n) * (F.col("_texture") + 0.03 * grain(n))).alias(n) for n in "rgb"])
 
 
 def lognormal_scene(spark: SparkSession, median: float, spread: float = 1.6, count: int = 20_000, scene_id: str = "scene", part: int = 1000) -> DataFrame:
