@@ -25,8 +25,9 @@ to buckets as packed arrays. A signature's sets form pairs; where more than FEW
 pairs with the smallest (the hub) are formed. First each set is compared with its likeliest partner,
 which brings copies together. Then the pairs whose ends are still apart are compared, and at last each
 set that is not free with those sets of its hubs that are no larger, still apart and allowed by their
-histograms. So no link that could join two components is left out, and no group of copies emits all
-its pairs. A hub with many sets is dealt to cells of chunk pairs. Sets that have several hubs in common
+histograms: the sets that have such a pair are named, never the pairs, and of their links no more are
+given out than join what is apart. So no link that could join two components is left out, and no group
+of sets, copies or not, emits all its pairs. A hub with many sets is dealt to cells of chunk pairs. Sets that have several hubs in common
 form a pair in the smallest of these only.
 
 *Counts.* That gives the components. Links lie within these, so each component's sets are then dealt to
@@ -267,49 +268,49 @@ def _cell(one: np.ndarray, two: np.ndarray, x: np.ndarray, part: np.ndarray, n:
                         yield min(x[i], x[j]), max(x[i], x[j])
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of sorted batches by their first columns."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in range(keys)]
+        edges = graph.group_bounds(*columns)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            key = tuple(int(c[a]) for c in columns)
+            if key != last:
+                if held:
+                    yield pa.Table.from_batches(held)
+                held, last = [], key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _within_hubs(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of a hub's members(hub, x, part, bits, n) that are in different parts and that histograms allow; one is not free.
+    """(hub, ci, cj, looks, x, part, n): cells of a hub's members(hub, x, part, bits, n), with those sets only that have a pair there.
 
-    A cell has a chunk of those that are not free (looks) and a chunk of those whose sizes come into question for some.
+    Pairs are of sets in different parts that histograms allow; one is not free. They are not given out, as their
+    number grows with the square of a hub's sets: _hub_links compares what is left in a cell. A cell has a chunk of those that are not free (looks) and a chunk of those whose sizes come into question for some.
     Sets often have many hubs in common: each row names the set's smaller hubs, so that only the smallest common one emits a pair.
     """
     names = ("hub", "ci", "cj", "looks", "x", "part", "bits", "n", "histogram", "before")
+    given = ["hub", "ci", "cj", "looks", "x", "part", "n"]
 
     def judge(rows: dict) -> Iterator[tuple]:
         yield from _cell(np.flatnonzero(rows["looks"]), np.flatnonzero(~rows["looks"]), *(rows[c] for c in ("x", "part", "n", "bits", "histogram", "before")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last, found = None, set()
-
-        def close() -> pa.RecordBatch | None:
-            if sum(h.num_rows for h in held) > 1:
-                t = pa.Table.from_batches(held)
-                rows = {c: t.column(c).to_pylist() if c == "histogram" else np.array(t.column(c).to_numpy()) for c in names[:-1]}
-                lists = t.column("before").combine_chunks()
-                rows["before"] = np.split(lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())[:-1])
-                found.update(judge(rows))
-            if len(found) > 20_000 or (last is None and found):
-                out = pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
-                found.clear()
-                return out
-            return None
-
-        for batch in batches:
-            if not batch.num_rows:
+        for t in _groups(batches, 3):
+            if len(t) < 2:
                 continue
-            keys = [batch.column(k).to_numpy() for k in range(3)]
-            edges = graph.group_bounds(*keys)
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                key = tuple(int(k[a]) for k in keys)
-                if key != last:
-                    if last is not None and (made := close()) is not None:
-                        yield made
-                    held, last = [], key
-                held.append(batch.slice(a, b - a))
-        last = None
-        if (made := close()) is not None:
-            yield made
+            rows = {c: t.column(c).to_pylist() if c == "histogram" else np.array(t.column(c).to_numpy()) for c in names[:-1]}
+            lists = t.column("before").combine_chunks()
+            rows["before"] = np.split(lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())[:-1])
+            found = {x for pair in judge(rows) for x in pair}
+            if found:
+                yield from t.select(given).filter(pa.array(np.isin(rows["x"], list(found)))).combine_chunks().to_batches()
 
     looks, low = F.col("bits") > 0, F.ceil(F.col("n") * PER_CENT / 100)
     mixed = members.groupBy("hub").agg(
@@ -328,7 +329,63 @@ def _within_hubs(members: DataFrame, classes: DataFrame) -> DataFrame:
     before = F.filter("hubs", lambda g: g < F.col("hub"))  # a set has at most as many hubs as signatures
     rows = rows.select("hub", "cell.ci", "cell.cj", "cell.looks", "x", "part", "bits", "n", "histogram", before.alias("before"))
     rows = rows.repartition("hub", "ci", "cj").sortWithinPartitions("hub", "ci", "cj")
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "hub long, ci int, cj int, looks boolean, x long, part long, n long")
+
+
+def _joined(looks: np.ndarray, part: np.ndarray, n: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Links (row, row) of a set that looks and a smaller one that does not, as many as join their parts: fewer than there are rows."""
+    one, two = np.flatnonzero(looks), np.flatnonzero(~looks)
+    if not len(one) or not len(two):
+        return
+    two = two[np.argsort(n[two], kind="stable")]
+    sizes = n[two]
+    ids = np.unique(np.concatenate([*(sets[i] for i in two), *(sets[i] for i in one)]), return_inverse=True)[1]
+    edges = np.concatenate([[0], np.cumsum(sizes)])
+    ends = edges[-1] + np.concatenate([[0], np.cumsum(n[one])])
+    mark = np.zeros(ids.max() + 1, bool)
+    label = np.unique(part, return_inverse=True)[1]
+    for at, i in enumerate(one):
+        a, b = np.searchsorted(sizes, -(-n[i] * PER_CENT // 100)), np.searchsorted(sizes, n[i], "right")
+        apart = a + np.flatnonzero(label[two[a:b]] != label[i])
+        if not len(apart):
+            continue
+        own = ids[ends[at] : ends[at + 1]]
+        mark[own] = True
+        if 2 * len(apart) > b - a:
+            both = np.add.reduceat(mark[ids[edges[a] : edges[b]]], edges[a:b] - edges[a], dtype=np.int64)[apart - a]
+        else:
+            both = np.array([np.count_nonzero(mark[ids[edges[j] : edges[j + 1]]]) for j in apart])
+        mark[own] = False
+        for j in two[apart[100 * both >= PER_CENT * (n[i] + sizes[apart] - both)]]:
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                yield i, j
+
+
+def _hub_links(asked: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that join all parts of a cell that links join, from the sets(cid, set) of the rows of _within_hubs.
+
+    A cell whose sets have many tokens is dealt to cells of parts of its two sides.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, 5):
+            x, tokens = t.column("x").to_numpy(), [np.frombuffer(u.as_buffer(), _U) for u in t.column("set")]
+            found = list(_joined(t.column("looks").to_numpy(), t.column("part").to_numpy(), np.array([len(u) for u in tokens]), tokens))
+            if found:
+                i, j = np.array(found).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x[i], x[j])), pa.array(np.maximum(x[i], x[j]))], names=["a", "b"])
+
+    cell = ["hub", "ci", "cj"]
+    parts = lambda looks: F.ceil(F.coalesce(F.sum(F.when(F.col("looks") == looks, F.col("n"))), F.lit(1)) / CELL_TOKENS).cast("int")
+    rows = asked.join(asked.groupBy(*cell).agg(parts(True).alias("ki"), parts(False).alias("kj")), cell)
+    mine = F.pmod(F.xxhash64("x"), F.when(F.col("looks"), F.col("ki")).otherwise(F.col("kj"))).cast("int")
+    other = F.sequence(F.lit(0), F.when(F.col("looks"), F.col("kj")).otherwise(F.col("ki")) - 1)
+    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(other)).join(sets.withColumnRenamed("cid", "x"), "x")
+    rows = rows.withColumns({"di": F.when(F.col("looks"), F.col("mine")).otherwise(F.col("other")), "dj": F.when(F.col("looks"), F.col("other")).otherwise(F.col("mine"))})
+    cell += ["di", "dj"]
+    rows = rows.select(*cell, "looks", "x", "part", "set").repartition(*cell).sortWithinPartitions(*cell)
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -634,14 +691,19 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count:
     release(docs)
     unique = not _repeats(rows)
 
-    def linked(some: DataFrame) -> DataFrame:
-        """Those of some pairs that link, from the sets of the texts that they name."""
-        some = durable(some)
-        nodes = some.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "class", "rep"), "cid")
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """(cid, set) of the classes that nodes(cid) names."""
+        nodes = nodes.distinct().join(classes.select("cid", "class", "rep"), "cid")
         texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(nodes, "rep")
         sets = _sets_of(texts)
         sets = durable(sets if unique else sets.groupBy("cid").agg(F.first("set").alias("set")))
         release(docs)
+        return sets
+
+    def linked(some: DataFrame) -> DataFrame:
+        """Those of some pairs that link, from the sets of the texts that they name."""
+        some = durable(some)
+        sets = sets_of(some.select(F.explode(F.array("a", "b")).alias("cid")))
         out = _linked(some, sets)
         discard(sets)
         discard(some)
@@ -664,8 +726,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count:
     often = often.join(classes.select(F.col("cid").alias("x"), "n"), "x")
     members = hubs.select(F.col("a").alias("hub"), F.col("b").alias("x")).join(_bounds(often), "x")
     members = members.join(parts.select(F.col("node").alias("x"), F.col("component").alias("part")), "x")
-    more = _within_hubs(members.select("hub", "x", "part", "bits", "n"), classes)
-    parts = every(_merged(parts, linked(more)))
+    asked = durable(_within_hubs(members.select("hub", "x", "part", "bits", "n"), classes))
+    sets = sets_of(asked.select(F.col("x").alias("cid")))
+    more = durable(_hub_links(asked, sets))
+    discard(asked)
+    discard(sets)
+    parts = every(_merged(parts, more))
     # components are named by their smallest id
     own = classes.join(parts, F.col("cid") == F.col("node")).select("cid", "class", "rep", "n", "copies", F.col("component").alias("part"))
     named = own.join(own.groupBy("part").agg(F.min("rep").alias("least")), "part")

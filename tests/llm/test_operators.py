@@ -1,6 +1,7 @@
 """Each operator against brute force, an exact round trip or held-out accuracy, and on odd rows."""
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -287,6 +288,30 @@ def test_pipeline(spark):
     assert corpus_pipeline.drop_near_copies(spark, nothing(docs), DATA).count() == 0
 
 
+def test_a_hub_gives_no_more_rows_than_its_sets(spark, monkeypatch):
+    """Sets of one hub whose histograms allow nearly all pairs, most of which do not link."""
+    rng = np.random.default_rng(5)
+    token = lambda n: rng.integers(0, 1 << 64, n, dtype=np.uint64)
+    base, sets = token(100), []
+    for k in range(240):
+        lost = k // 80 * 9  # a third of the sets links with all of it, the others with fewer
+        sets.append(np.sort(np.unique(np.concatenate([base[rng.permutation(100)[: 100 - lost]], token(lost)]))))
+    hist = [jaccard.histogram(u) for u in sets]
+    members = spark.createDataFrame([(0, k, k, 7, len(u)) for k, u in enumerate(sets)], "hub long, x long, part long, bits int, n long")
+    classes = spark.createDataFrame([(k, bytearray(h)) for k, h in enumerate(hist)], "cid long, histogram binary")
+    table = spark.createDataFrame([(k, bytearray(u.tobytes())) for k, u in enumerate(sets)], "cid long, set binary")
+    links = {(i, j) for i in range(240) for j in range(i + 1, 240) if jaccard.similar(sets[i].tobytes(), sets[j].tobytes())}
+    allowed = sum(jaccard.may_link(*(np.frombuffer(hist[k], np.uint8)[None] for k in p), np.array([100]), np.array([100]))[0] for p in itertools.combinations(range(240), 2))
+    want = sorted(graph.forest(links))
+    asked = jaccard._within_hubs(members, classes)
+    assert asked.count() <= 2 * 240 < allowed // 10
+    for cells in (jaccard.CELL_TOKENS, 3000):
+        monkeypatch.setattr(jaccard, "CELL_TOKENS", cells)
+        got = [(r["a"], r["b"]) for r in jaccard._hub_links(asked, table).collect()]
+        assert set(got) <= links and sorted(graph.forest(got)) == want and len(got) < 240 * (1 if cells > 3000 else 81)
+    assert len(links) > 3000 and 1 < len(want) < 240
+
+
 def test_pairs_of_sets_with_several_hubs_come_from_the_smallest():
     sets = [np.arange(40, dtype=np.uint64) << np.uint64(58), np.arange(40, dtype=np.uint64) << np.uint64(58)]
     args = [np.array([7, 9]), np.array([7, 9]), np.array([40, 40]), np.array([7, 7]), [jaccard.histogram(u) for u in sets]]
