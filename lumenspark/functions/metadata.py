@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..codecs import container, xmp
 from . import binary
+from .bind import bound
 
 
 def _digits(v: pd.Series) -> pd.Series:
@@ -31,8 +32,8 @@ def payload(multi: Column, use_base: Column, base_headroom: Column, alt_headroom
 
 def segment(marker: int, body: Column) -> Column:
     """A marker segment; null where the body is too long for one."""
-    made = F.concat(binary.raw(bytes((0xFF, marker))), binary.u16(F.length(body) + 2), body)
-    return F.when(F.length(body) + 2 <= 65535, made)
+    made = lambda b: F.when(F.length(b) + 2 <= 65535, F.concat(binary.raw(bytes((0xFF, marker))), binary.u16(F.length(b) + 2), b))
+    return bound(body, made)
 
 
 def index_body(sizes: Column, endian: Column) -> Column:
@@ -52,6 +53,10 @@ def index_body(sizes: Column, endian: Column) -> Column:
 
 def icc_chunks(profile: Column) -> Column:
     """Array of the colour profile segments of a profile, in order."""
+    return bound(profile, _icc_chunks)
+
+
+def _icc_chunks(profile: Column) -> Column:
     n = F.ceil(F.length(profile) / container.ICC_CHUNK).cast("int")
     chunk = lambda i: segment(0xE2, F.concat(binary.raw(container.ICC_ID), binary.u8(i), binary.u8(n), F.substring(profile, (i - 1) * container.ICC_CHUNK + 1, F.lit(container.ICC_CHUNK))))
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), chunk)).otherwise(F.array().cast("array<binary>"))

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from ..codecs import container, exif, icc, jpeg, xmp
 from ..functions import binary, color, metadata, tone
+from ..functions.bind import bound
 from ..operators import blocks, settings, stats, tags
 from ..sources import patterns
 from ..sources.files import mapped
 from . import options
-from .registry import query, read
+from .registry import dealt, query, read
 from .registry import rounded as _r
 
 _SPACES = list(color.PRIMARIES)
@@ -294,10 +295,10 @@ _PRIMARY = xmp.primary(7654321).split("7654321")
 @query(f"SELECT p_partkey, md5('{_PRIMARY[0]}' || (p_partkey * 11) || '{_PRIMARY[1]}') AS packet, '{container.base_marker().hex().upper()}' AS marker, '{container.jfif(True).hex().upper()}' AS jfif, 'FFE1' || printf('%04X', 29 + 2 + length(p_name)) || '{container.XMP_ID.hex().upper()}' || hex(p_name) AS segment, CAST(ceil(p_size * 5000 / 65519.0) AS INTEGER) AS chunks, CAST(p_size * 5000 + 18 * ceil(p_size * 5000 / 65519.0) AS BIGINT) AS bytes FROM part")
 def app_segments(spark, d):
     """Segments of a base image: directory packet, marker, JFIF, an XMP segment, and a colour profile in chunks."""
-    chunks = metadata.icc_chunks(F.encode(F.repeat(F.lit("p"), F.col("p_size") * 5000), "UTF-8"))
-    whole = F.aggregate(chunks, F.lit(0).cast("long"), lambda s, c: s + F.length(c))
+    chunks = metadata.icc_chunks(F.repeat(F.lit("p"), F.col("p_size") * 5000).cast("binary"))
+    told = bound(chunks, lambda c: F.struct(F.size(c).alias("chunks"), F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + F.length(x)).alias("bytes")))
     body = F.concat(binary.raw(container.XMP_ID), binary.text(F.col("p_name")))
-    return read(spark, d, "part").select("p_partkey", F.md5(F.encode(metadata.primary_packet(F.col("p_partkey") * 11), "UTF-8")).alias("packet"), F.hex(binary.raw(container.base_marker())).alias("marker"), F.hex(binary.raw(container.jfif(True))).alias("jfif"), F.hex(metadata.segment(0xE1, body)).alias("segment"), F.size(chunks).alias("chunks"), whole.alias("bytes"))
+    return dealt(read(spark, d, "part").select("p_partkey", "p_name", "p_size")).select("p_partkey", F.md5(F.encode(metadata.primary_packet(F.col("p_partkey") * 11), "UTF-8")).alias("packet"), F.hex(binary.raw(container.base_marker())).alias("marker"), F.hex(binary.raw(container.jfif(True))).alias("jfif"), F.hex(metadata.segment(0xE1, body)).alias("segment"), told.alias("told")).select("*", "told.*").drop("told")
 
 
 _PROFILES = [*icc.CANDIDATES]

@@ -25,5 +25,10 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows dealt over all cores, for much work on each row of a small file, which is one task."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def rounded(c, n: int = 6):
     return F.round(c, n)

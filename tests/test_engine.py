@@ -109,6 +109,18 @@ def test_exif_of_a_tiff():
     assert exif.app_payload({"ifd0": [exif.Tag(270, 2, 65_000, b"x" * 65_000), exif.Tag(315, 2, 900, b"y" * 900)]}) == b""
 
 
+def test_bodies_of_segments_are_made_once(spark):
+    assert str(metadata.icc_chunks(F.col("own_body"))).count("own_body") == str(metadata.segment(0xE1, F.col("own_body"))).count("own_body") == 1
+    rows = [(k, bytearray(range(256)) * 256 * k + bytearray(b"end")) for k in range(3)]
+    df = spark.createDataFrame([*rows, (3, None), (4, bytearray())], "k int, b binary").select("k", metadata.icc_chunks(F.col("b")).alias("c"), metadata.segment(0xE1, F.col("b")).alias("s"))
+    got = {r["k"]: r for r in df.collect()}
+    for k, b in rows:
+        n = -(-len(b) // container.ICC_CHUNK)
+        cut = [bytes(b[i * container.ICC_CHUNK : (i + 1) * container.ICC_CHUNK]) for i in range(n)]
+        assert [bytes(c) for c in got[k]["c"]] == [container.segment(0xE2, container.ICC_ID + bytes((i, n)) + c) for i, c in enumerate(cut, 1)]
+    assert bytes(got[0]["s"]) == container.segment(0xE1, b"end") and got[1]["s"] is None and got[3]["s"] is None and got[3]["c"] == got[4]["c"] == []
+
+
 def test_colour_profiles():
     for n in icc.CANDIDATES:
         s = icc.inspect(icc.rgb_profile(n))
