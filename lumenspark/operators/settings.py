@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bind import bound
+
 # Names and defaults of the settings, the settings that are no more, and the render settings that an export forces.
 DEFAULTS = {
     "iso_add_to_catalog": "false", "iso_color_space": "DisplayP3", "iso_copy_metadata": "true", "iso_input_primaries": "auto", "iso_input_transfer": "auto", "iso_jpeg_quality": "90",
@@ -34,7 +36,7 @@ def _number(v: Column) -> Column:
 
 def overlaid(base: Column, over: Column) -> Column:
     """Two maps as one; the second wins."""
-    return F.map_concat(F.map_filter(base, lambda k, _: ~F.array_contains(F.map_keys(over), k)), over)
+    return bound(over, lambda o: bound(F.map_keys(o), lambda keys: F.map_concat(F.map_filter(base, lambda k, _: ~F.array_contains(keys, k)), o)))
 
 
 def clamp_number(v: Column, low: float, high: float, otherwise: float) -> Column:
@@ -55,13 +57,16 @@ def inverted_gamma(gamma: Column) -> Column:
 
 def completed(settings: Column) -> Column:
     """Settings brought to the present version: old presets lose retired settings and old defaults, absent ones are filled in. Doing it again changes nothing."""
-    present = F.map_filter(settings, lambda _, v: v.isNotNull())
+    return bound(F.map_filter(settings, lambda _, v: v.isNotNull()), _completed)
+
+
+def _completed(present: Column) -> Column:
     has = lambda k: F.map_contains_key(present, k)
     version = _number(F.element_at(present, F.lit("iso_settings_version")))
     old = (has(SIGNS[0]) | has(SIGNS[1]) | has(SIGNS[2])) & (version.isNull() | (version < VERSION))
-    kept = F.map_filter(present, lambda k, _: ~(old & k.isin(*RETIRED)))
-    kept = F.transform_values(kept, lambda k, v: F.when(old & (k == "iso_target_headroom") & (v == "4.0"), "match").otherwise(v))
-    return overlaid(overlaid(_map(DEFAULTS), kept), _map({"iso_settings_version": str(VERSION)}))
+    kept = F.map_filter(present, lambda k, _: ~k.isin(*RETIRED))
+    kept = F.transform_values(kept, lambda k, v: F.when((k == "iso_target_headroom") & (v == "4.0"), "match").otherwise(v))
+    return overlaid(overlaid(_map(DEFAULTS), F.when(old, kept).otherwise(present)), _map({"iso_settings_version": str(VERSION)}))
 
 
 def _at(settings: Column, key: str) -> Column:
@@ -101,7 +106,10 @@ def _plain(v: Column) -> Column:
 
 def arguments(settings: Column) -> Column:
     """Argument list of completed settings, without the paths."""
-    p = completed(settings)
+    return bound(completed(settings), _arguments)
+
+
+def _arguments(p: Column) -> Column:
     at = lambda k: _at(p, k)
     flag = lambda name, v, when: F.when(when, F.array(F.lit(name), v)).otherwise(F.array().cast("array<string>"))
     transfer, space = at("iso_input_transfer"), at("iso_input_primaries")
@@ -121,7 +129,10 @@ def arguments(settings: Column) -> Column:
 
 def summary(settings: Column) -> Column:
     """One line that says what an export will do."""
-    p = completed(settings)
+    return bound(completed(settings), _summary)
+
+
+def _summary(p: Column) -> Column:
     h = _at(p, "iso_target_headroom")
     headroom = F.when(h == "match", "headroom from the render").otherwise(F.format_string("max +%s EV", h))
     quality = F.floor(F.coalesce(_number(_at(p, "iso_jpeg_quality")), F.lit(90.0))).cast("long")
@@ -182,5 +193,6 @@ def report(text: Column, schema: str) -> Column:
 
 def presets(df: DataFrame, settings: str = "settings") -> DataFrame:
     """Rows with their settings completed, checked and made into an argument list."""
-    s = F.col(settings)
-    return df.withColumns({"completed": completed(s), "problem": problem(completed(s)), "arguments": arguments(s), "summary": summary(s)})
+    own = lambda p: F.struct(p.alias("completed"), problem(p).alias("problem"), _arguments(p).alias("arguments"), _summary(p).alias("summary"))
+    made = df.withColumn("_made", bound(completed(F.col(settings)), own))
+    return made.withColumns({c: F.col("_made")[c] for c in ("completed", "problem", "arguments", "summary")}).drop("_made")

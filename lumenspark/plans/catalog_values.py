@@ -379,7 +379,7 @@ def _presets(spark, d):
         ("iso_gainmap_gamma", maybe(k % 7 == 0, "2.2")), ("iso_jpeg_quality", F.when(k % 6 == 0, "75.9").when(k % 6 == 1, "none")), ("iso_copy_metadata", maybe(k % 8 == 0, "false")), ("iso_input_transfer", F.when(k % 9 == 0, "pq").when(k % 9 == 1, "romm")),
         ("iso_pq_diffuse_white", maybe(k % 2 == 0, "100")), ("iso_sdr_detail", maybe(k % 10 == 0, "9")), ("own_setting", F.col("c_mktsegment")),
     ]
-    return read(spark, d, "customer").select("c_custkey", F.create_map(*[x for n, v in pairs for x in (F.lit(n), v)]).alias("settings"))
+    return dealt(read(spark, d, "customer").select("c_custkey", "c_mktsegment")).select("c_custkey", F.create_map(*[x for n, v in pairs for x in (F.lit(n), v)]).alias("settings"))
 
 
 _PRE = (

@@ -281,6 +281,16 @@ def test_settings_and_patterns(spark):
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
 
 
+def test_settings_are_completed_once_a_row(spark):
+    c = F.col("own_map")
+    for made in (settings.completed(c), settings.arguments(c), settings.summary(c), settings.overlaid(F.create_map(), c)):
+        assert str(made).count("own_map") == 1
+    df = spark.createDataFrame([(1, {"iso_gainmap_gamma": "2", "iso_target_headroom": "4.0"}), (2, {"iso_settings_version": "6", "iso_gainmap_gamma": "2"}), (3, None), (4, {"x": None})], "k int, settings map<string,string>")
+    got = {r["k"]: r for r in settings.presets(df).collect()}
+    assert got[1]["completed"] == settings.DEFAULTS | {"iso_settings_version": "6"} == got[4]["completed"] and got[3]["completed"] is None
+    assert got[2]["completed"] == settings.DEFAULTS | {"iso_settings_version": "6", "iso_gainmap_gamma": "2"} and got[2]["arguments"] == got[1]["arguments"]
+
+
 def test_files_encoded_as_they_arrive(spark, tmp_path):
     from lumenspark.streaming import watch
 
