@@ -1,11 +1,12 @@
-"""Shared helpers: Arrow text slices with bounded temporaries, and durable tables."""
+"""Shared helpers: Arrow text slices with bounded temporaries, workers that give memory back, and durable tables."""
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -65,6 +66,61 @@ def row_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+#: What one operator keeps in a worker from task to task; the next task of another operator drops it.
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make: Callable):
+    """What make gives, made once in a worker as long as nothing else is kept there."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def _drop() -> None:
+    """A function, as workers get a copy of a table that a task names."""
+    _KEPT.clear()
+
+
+def _give_back() -> None:
+    """Memory that Arrow's pool and the C library hold without use goes to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def thrifty(run: Callable, keeps: bool = False) -> Callable:
+    """A mapInArrow function whose worker gives back, when a task ends, the memory that the task has freed.
+
+    Workers live on between tasks and steps; else each would hold the most that it ever took. Unless it keeps
+    something itself, it drops what another operator has kept.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            _drop()
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return task
+
+
+def thrifty_group(judge: Callable) -> Callable:
+    """The same for an applyInArrow function of one group, after each group."""
+
+    def task(table: pa.Table) -> pa.Table:
+        _drop()
+        try:
+            return judge(table)
+        finally:
+            _give_back()
+
+    return task
+
+
 _LOCAL: list[str] = []
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .arrow import slices
+from .arrow import kept, slices, thrifty
 
 #: Distinct pre-tokens that a worker remembers before it starts afresh; a memory bound, results do not depend on it.
 REMEMBERED = 400_000
@@ -167,14 +167,9 @@ class Codec:
         return n, ids.hexdigest(), raw.hexdigest()
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
-    """One codec per worker process, file and pattern."""
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec(load_ranks(path), pattern)
-    return _CODECS[path, pattern]
+    """One codec per worker process, file and pattern, until another operator works there."""
+    return kept((path, pattern), lambda: Codec(load_ranks(path), pattern))
 
 
 def encode_table(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,7 +182,7 @@ def encode_table(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([s.ids, pa.array(ids, pa.list_(pa.int32())), pa.array([c.decode(x) for x in ids], pa.binary())], names=["id", "ids", "decoded"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"id {kind}, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
+    return df.select(id_col, text_col).mapInArrow(thrifty(run, keeps=True), f"id {kind}, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
 
 
 def digest_table(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,4 +196,4 @@ def digest_table(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([s.ids, pa.array(np.array(n, np.int64)), pa.array(a), pa.array(b)], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return df.select(id_col, text_col).mapInArrow(thrifty(run, keeps=True), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

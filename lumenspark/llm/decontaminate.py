@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import slices
+from .arrow import slices, thrifty
 
 EDIT_RATE = 0.08
 #: Shorter items must occur without edits.
@@ -171,7 +171,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col=
                     a, b, c, d = map(list, zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(a, s.ids.type), pa.array(b), pa.array(c, pa.int32()), pa.array(d, pa.int64())], names=["id", "item", "edits", "end_pos"])
 
-        return docs.select(id_col, text_col).mapInArrow(run, schema)
+        return docs.select(id_col, text_col).mapInArrow(thrifty(run), schema)
 
     out = None
     for block in _blocks(benchmark, item_id, item_text):
@@ -195,5 +195,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col=
                 keep = [not (t and matcher.find(t)) for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(thrifty(run), docs.schema)
     return out

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import discard, durable
+from .arrow import discard, durable, thrifty
 
 
 def forest(pairs) -> list[tuple]:
@@ -66,11 +66,11 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     """
     kind = edges.schema[a].dataType.simpleString()
     edges = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    edges = durable(edges.mapInArrow(_local_forest, f"u {kind}, v {kind}").distinct())
+    edges = durable(edges.mapInArrow(thrifty(_local_forest), f"u {kind}, v {kind}").distinct())
     digest = F.struct(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003))
     seen = edges.agg(digest).first()[0]
     if seen[0] <= ONE_TASK:
-        out = durable(edges.coalesce(1).mapInArrow(_whole_forest, f"node {kind}, component {kind}"))
+        out = durable(edges.coalesce(1).mapInArrow(thrifty(_whole_forest), f"node {kind}, component {kind}"))
         discard(edges)
         return out
     for _ in range(rounds):

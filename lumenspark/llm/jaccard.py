@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph, shingles
-from .arrow import discard, durable, release, slices
+from .arrow import discard, durable, release, slices, thrifty, thrifty_group
 
 #: Links need 100 * |A and B| >= PER_CENT * |A or B|. The band bounds below hold for 80.
 PER_CENT = 80
@@ -218,7 +218,7 @@ def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     side = lambda x: classes.select(F.col("cid").alias(x), F.col("histogram").alias(f"h{x}"), F.col("n").alias(f"n{x}"))
     joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "ha", "hb", "na", "nb")
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(thrifty(run), "a long, b long")
 
 
 def _cell(one: np.ndarray, two: np.ndarray, x: np.ndarray, part: np.ndarray, n: np.ndarray, bits: np.ndarray, hist: list, before: list[np.ndarray]) -> Iterator[tuple]:
@@ -329,7 +329,7 @@ def _within_hubs(members: DataFrame, classes: DataFrame) -> DataFrame:
     before = F.filter("hubs", lambda g: g < F.col("hub"))  # a set has at most as many hubs as signatures
     rows = rows.select("hub", "cell.ci", "cell.cj", "cell.looks", "x", "part", "bits", "n", "histogram", before.alias("before"))
     rows = rows.repartition("hub", "ci", "cj").sortWithinPartitions("hub", "ci", "cj")
-    return rows.mapInArrow(run, "hub long, ci int, cj int, looks boolean, x long, part long, n long")
+    return rows.mapInArrow(thrifty(run), "hub long, ci int, cj int, looks boolean, x long, part long, n long")
 
 
 def _joined(looks: np.ndarray, part: np.ndarray, n: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
@@ -385,7 +385,7 @@ def _hub_links(asked: DataFrame, sets: DataFrame) -> DataFrame:
     rows = rows.withColumns({"di": F.when(F.col("looks"), F.col("mine")).otherwise(F.col("other")), "dj": F.when(F.col("looks"), F.col("other")).otherwise(F.col("mine"))})
     cell += ["di", "dj"]
     rows = rows.select(*cell, "looks", "x", "part", "set").repartition(*cell).sortWithinPartitions(*cell)
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(thrifty(run), "a long, b long")
 
 
 def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -398,7 +398,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([s.ids, pa.array(n, pa.int64()), pa.array(c, pa.binary()), pa.array(b, pa.int32()), pa.array(h, pa.binary())], names=["id", "n_shingles", "class", "band", "histogram"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_shingles long, class binary, band int, histogram binary")
+    return docs.select(id_col, text_col).mapInArrow(thrifty(run), f"id {kind}, n_shingles long, class binary, band int, histogram binary")
 
 
 def _packed(docs: DataFrame, id_col: str, text_col: str, others: dict[int, int], bits: int) -> DataFrame:
@@ -440,7 +440,7 @@ def _packed(docs: DataFrame, id_col: str, text_col: str, others: dict[int, int],
         if held:
             yield flush()
 
-    return docs.select(id_col, text_col).mapInArrow(run, "bucket int, classes binary, refs binary, sigs binary, roles binary")
+    return docs.select(id_col, text_col).mapInArrow(thrifty(run), "bucket int, classes binary, refs binary, sigs binary, roles binary")
 
 
 def _bucket_pairs(table: pa.Table) -> pa.Table:
@@ -515,7 +515,7 @@ def _sets_of(rows: DataFrame) -> DataFrame:
             if made:
                 yield pa.RecordBatch.from_arrays([cids.take(pa.array([i for i, _ in made])), pa.array([u.tobytes() for _, u in made], pa.binary())], names=["cid", "set"])
 
-    return rows.select("cid", "class", "text").mapInArrow(run, "cid long, set binary")
+    return rows.select("cid", "class", "text").mapInArrow(thrifty(run), "cid long, set binary")
 
 
 def similar(a: bytes, b: bytes) -> bool:
@@ -537,7 +537,7 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     side = lambda x: sets.select(F.col("cid").alias(x), F.col("set").alias(f"s{x}"))
     joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
-    out = durable(joined.mapInArrow(run, "a long, b long"))
+    out = durable(joined.mapInArrow(thrifty(run), "a long, b long"))
     release(pairs)
     return out
 
@@ -551,7 +551,7 @@ def _flat(rows: DataFrame) -> DataFrame:
             at = pa.array(np.repeat(np.arange(batch.num_rows), bs.value_lengths().to_numpy()))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), bs.flatten()], names=["a", "ca", "b"])
 
-    return rows.select("a", "ca", "bs").mapInArrow(run, "a long, ca long, b long")
+    return rows.select("a", "ca", "bs").mapInArrow(thrifty(run), "a long, ca long, b long")
 
 
 def _across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -581,7 +581,7 @@ def _bounds(often: DataFrame) -> DataFrame:
             bits = [bound(m, f) for m, *f in zip(n, f0, f1, f2, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.int32()), batch.column(4)], names=["x", "bits", "n"])
 
-    return often.select("x", "f0", "f1", "f2", "n").mapInArrow(run, "x long, bits int, n long")
+    return often.select("x", "f0", "f1", "f2", "n").mapInArrow(thrifty(run), "x long, bits int, n long")
 
 
 def _degrees(classes: list[bytes], sets: list[np.ndarray], copies: np.ndarray, chunk: np.ndarray, cross: bool) -> np.ndarray:
@@ -659,7 +659,7 @@ def _links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> D
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     rows = rows.withColumns({"ci": F.least("chunk", "other"), "cj": F.greatest("chunk", "other")}).select(*names)
     rows = rows.repartition("part", "ci", "cj").sortWithinPartitions("part", "ci", "cj")
-    return rows.mapInArrow(run, "cid long, links long").groupBy("cid").agg(F.sum("links").alias("links"))
+    return rows.mapInArrow(thrifty(run), "cid long, links long").groupBy("cid").agg(F.sum("links").alias("links"))
 
 
 def _repeats(rows: DataFrame) -> bool:
@@ -681,7 +681,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count:
     # signatures are about half as many as tokens; a bucket holds about a million
     bits = max(6, int(np.ceil(np.log2(max(1, sum(r["n"] for r in stats) / 2_000_000)))))
     packed = _packed(docs, id_col, text_col, others, bits)
-    pairs = packed.groupBy("bucket").applyInArrow(_bucket_pairs, "a binary, b binary, hub boolean, rare boolean, f0 int, f1 int, f2 int")
+    pairs = packed.groupBy("bucket").applyInArrow(thrifty_group(_bucket_pairs), "a binary, b binary, hub boolean, rare boolean, f0 int, f1 int, f2 int")
     pairs = pairs.groupBy("a", "b").agg(F.max("hub").alias("hub"), F.max("rare").alias("rare"), F.count("*").alias("k"), *(F.sum(f).alias(f) for f in ("f0", "f1", "f2")))
     for x in ("a", "b"):
         pairs = pairs.join(classes.select(F.col("class").alias(x), F.col("cid").alias(f"c{x}")), x)

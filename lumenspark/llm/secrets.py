@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .arrow import slices
+from .arrow import slices, thrifty
 
 #: Never part of UTF-8 text: ends one text and begins the next.
 BREAK = 0xFF
@@ -391,7 +391,7 @@ def scan_table(df: DataFrame, base: tuple[Rule, ...] = BASE, extra: tuple[Rule,
 
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, {', '.join(f'{n} long' for n in names)}, base_sha256 string, spans string"
-    return df.select(id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return df.select(id_col, text_col).mapInArrow(thrifty(run), schema).withColumnRenamed("id", id_col)
 
 
 def mask_table(df: DataFrame, text_col: str = "text", base: tuple[Rule, ...] = BASE, extra: tuple[Rule, ...] = EXTRA, mark: str = "[{}]") -> DataFrame:
@@ -418,4 +418,4 @@ def mask_table(df: DataFrame, text_col: str = "text", base: tuple[Rule, ...] = B
                 columns[at] = pa.array(texts, batch.schema.types[at])
                 yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(thrifty(run), df.schema)

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import row_sums, slices
+from .arrow import row_sums, slices, thrifty
 
 #: Labelled rows that training reads at most, about; the classes have equal limits.
 TRAIN_ROWS = 8_000
@@ -215,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep, label="toxic", rows: int = TRA
 
     kind = docs.schema[id_col].dataType.simpleString()
     some = sampled(docs, labels, label, keep, rows, id_col, text_col).select("_id", "_t", "_y")
-    found = some.mapInArrow(count, f"id {kind}, y int, windows binary, times binary").toArrow().sort_by("id")
+    found = some.mapInArrow(thrifty(count), f"id {kind}, y int, windows binary, times binary").toArrow().sort_by("id")
     own = lambda y: (dict(zip(w.as_py().split(), np.frombuffer(t.as_py(), np.int32).tolist(), strict=True)) for w, t in zip(*(found.filter(pc.equal(found["y"], y))[c] for c in ("windows", "times")), strict=True))
     return train(own(1), own(0))
 
@@ -230,7 +230,7 @@ def score_table(df: DataFrame, model: Model, id_col="doc_id", text_col="text") -
             yield pa.RecordBatch.from_arrays([s.ids, pa.array(scores, pa.float64())], names=["id", "score"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return df.select(id_col, text_col).mapInArrow(thrifty(run), f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
 def keep_ordinary(df: DataFrame, model: Model, threshold: float, text_col="text") -> DataFrame:
@@ -243,4 +243,4 @@ def keep_ordinary(df: DataFrame, model: Model, threshold: float, text_col="text"
             keep = [reader.score((t or "").encode().lower()) < threshold for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(thrifty(run), df.schema)

@@ -2,8 +2,11 @@
 
 import hashlib
 import itertools
+import os
 import random
 import re
+import subprocess
+import sys
 
 import numpy as np
 import public_tokenizers
@@ -691,3 +694,45 @@ def test_pipeline_against_plain_forms_of_its_stages(spark, tmp_path):
         want = (text[k] or "").replace("token=abcdef123", "[assign]")
         ids = enc.encode_ordinary(want)
         assert (got[k]["n_tokens"], got[k]["ids_sha256"], got[k]["decoded_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(want.encode()).hexdigest())
+
+
+LEFT_IN_A_WORKER = """
+import gc, re, sys
+import numpy as np, pyarrow as pa, public_tokenizers
+from pyspark.sql.types import LongType, StringType, StructField, StructType
+from lumenspark.llm import bpe, jaccard, toxicity
+
+class Table:
+    columns, schema = ["doc_id", "text"], StructType([StructField("doc_id", LongType()), StructField("text", StringType())])
+    select = withColumnRenamed = lambda self, *a: self
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+def batches(n, seed=5):
+    words = np.random.default_rng(seed).integers(10**11, 10**12, (n, 200))
+    yield pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([" ".join(map("w{:x}".format, w)) for w in words.tolist()])], names=["doc_id", "text"])
+
+def held():
+    gc.collect()
+    return sum(int(x) for x in re.findall("Pss_Anon: +([0-9]+)", open("/proc/self/smaps_rollup").read())) / 1024
+
+made = [bpe.digest_table(Table(), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)]
+made.append(toxicity.score_table(Table(), toxicity.Model(b"some bad words", b"some words", 1.0, [0.0] * 4)))
+made += [jaccard.describe(Table(), "doc_id", "text"), jaccard._packed(Table(), "doc_id", "text", {i: 100 for i in range(60)}, 6)]
+before = []
+for n in (2, 1500):
+    for table in made:
+        for _ in table.run(batches(n)):
+            pass
+        before.append(held())
+print(*before)
+sys.exit(before[-1] - before[3] > 60)
+"""
+
+
+def test_workers_hold_little_between_tasks():
+    """What operators took in a worker for a large task is given back by the end of the next ones."""
+    done = subprocess.run([sys.executable, "-c", LEFT_IN_A_WORKER], capture_output=True, text=True, timeout=300, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    assert done.returncode == 0, done.stdout + done.stderr
